@@ -1,4 +1,288 @@
-"""Queries over the test tables and the SQL that checks them."""
+"""Queries over the test tables and the SQL that checks them; both sides round doubles to six digits."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frametide.functions.geometry import clip
+from frametide.operators import audio, control, frames
+from frametide.sources import tables as t
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c) + F.lit(0.0), 6) for c in columns})
+
+
+_RMS = "SELECT media_id, (sample_index // 10)::BIGINT AS hop, round(sqrt(avg(x * x)), 6) AS rms FROM sig GROUP BY ALL"
+
+
+@query(f"WITH {t.SIG} {_RMS}")
+def audio_rms_hops(spark, d):
+    return r6(audio.rms_hops(t.signal(spark, d), 10), "rms")
+
+
+@query(f"WITH {t.SIG} SELECT media_id, (sample_index // 2)::BIGINT AS bucket, round(min(x), 6) AS low, round(max(x), 6) AS high FROM sig GROUP BY ALL")
+def audio_waveform_envelope(spark, d):
+    return r6(audio.envelope(t.signal(spark, d), 2), "low", "high")
+
+
+@query(f"WITH {t.SIG}, p AS (SELECT media_id, max(abs(x)) AS peak FROM sig GROUP BY 1) SELECT c_custkey::BIGINT AS media_id, CASE WHEN peak IS NULL THEN 'absent' WHEN peak <= 0.5 THEN 'silence' ELSE 'present' END AS presence FROM customer LEFT JOIN p ON media_id = c_custkey")
+def signal_presence(spark, d):
+    media = t.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("media_id"))
+    return audio.presence(t.signal(spark, d).select(F.col("media_id").cast("long"), "x"), media, 0.5)
+
+
+_SPEECH = """a AS (SELECT *, (score >= 0.5)::INT AS speech, coalesce(lead(start_sec) OVER w, end_sec) AS until FROM vad WINDOW w AS (PARTITION BY media_id ORDER BY window_index)),
+b AS (SELECT *, (coalesce(lag(speech) OVER w, -1) <> speech)::INT AS change FROM a WINDOW w AS (PARTITION BY media_id ORDER BY window_index)),
+c AS (SELECT *, sum(change) OVER (PARTITION BY media_id ORDER BY window_index) AS island FROM b),
+i AS (SELECT media_id, min(start_sec) AS s, max(until) AS e, max(score) AS score FROM c WHERE speech = 1 GROUP BY media_id, island HAVING round(max(until) - min(start_sec), 6) >= 0.10),
+f AS (SELECT *, CASE WHEN round(s - lag(e) OVER (PARTITION BY media_id ORDER BY s), 6) < 0.15 THEN 0 ELSE 1 END AS fresh FROM i),
+g AS (SELECT *, (sum(fresh) OVER (PARTITION BY media_id ORDER BY s))::BIGINT AS segment FROM f),
+seg AS (SELECT media_id, segment, round(min(s), 6) AS start_sec, round(max(e), 6) AS end_sec, round(max(score), 6) AS score FROM g GROUP BY ALL)"""
+
+
+@query(f"WITH {t.VAD}, {_SPEECH} SELECT * FROM seg")
+def speech_segments(spark, d):
+    return r6(audio.speech_segments(t.vad(spark, d)), "start_sec", "end_sec", "score")
+
+
+def flagship(spark, d):
+    loud = audio.rms_hops(t.signal(spark, d), 10).groupBy("media_id").agg(F.max("rms").alias("peak_rms"), F.count("*").alias("n_hops"))
+    return r6(audio.speech_segments(t.vad(spark, d)).join(loud, "media_id"), "start_sec", "end_sec", "score", "peak_rms")
+
+
+@query(f"WITH {t.VAD}, {_SPEECH}, h AS ({_RMS.replace('round(sqrt(avg(x * x)), 6)', 'sqrt(avg(x * x))')}), l AS (SELECT media_id, round(max(rms), 6) AS peak_rms, count(*) AS n_hops FROM h GROUP BY 1) SELECT seg.*, peak_rms, n_hops FROM seg JOIN l USING (media_id)")
+def speech_with_loudness(spark, d):
+    return flagship(spark, d)
+
+
+@query(f"WITH {t.SIG}, n AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM sig WINDOW w AS (PARTITION BY media_id ORDER BY sample_index)) SELECT media_id, sample_index, round(x, 6) AS x FROM n WHERE x >= 0.08 AND x > b AND x >= a")
+def onset_local_maxima(spark, d):
+    return r6(audio.local_maxima(t.signal(spark, d).select("media_id", "sample_index", "x"), "x", 0.08), "x")
+
+
+@query(f"WITH {t.SIG}, m AS (SELECT media_id, median(x) AS mid, max(x) AS top FROM sig GROUP BY 1), k AS (SELECT media_id, any_value(mid) AS mid, any_value(top) AS top, median(abs(x - mid)) AS mad FROM sig JOIN m USING (media_id) GROUP BY 1) SELECT media_id, round(greatest(0.001, top * 0.15, mid + 4 * mad), 6) AS threshold FROM k")
+def novelty_threshold_mad(spark, d):
+    return r6(audio.novelty_threshold(t.signal(spark, d), "x"), "threshold")
+
+
+@query(f"WITH {t.SHOTS}, p AS (SELECT *, lag(end_frame) OVER (PARTITION BY media_id ORDER BY shot_index) AS pe FROM shots) SELECT media_id, count(*) AS n_shots, sum((end_frame <= start_frame)::INT)::BIGINT AS n_empty, sum(coalesce(start_frame > pe, false)::INT)::BIGINT AS n_gaps, sum(coalesce(start_frame < pe, false)::INT)::BIGINT AS n_overlaps, (sum((end_frame <= start_frame)::INT + coalesce(start_frame <> pe, false)::INT) = 0)::INT AS valid FROM p GROUP BY 1")
+def shot_timeline_validation(spark, d):
+    return frames.timeline_faults(t.shots(spark, d))
+
+
+_PERIODIC = "SELECT media_id, shot_index, unnest(range(start_frame, end_frame, 7)) AS frame FROM shots"
+
+
+@query(f"WITH {t.SHOTS}, f AS ({_PERIODIC}) SELECT f.media_id, f.frame, s.shot_index FROM (SELECT DISTINCT media_id, frame FROM f) f JOIN shots s ON s.media_id = f.media_id AND f.frame >= s.start_frame AND f.frame < s.end_frame")
+def frame_to_shot_range_join(spark, d):
+    shots = t.shots(spark, d)
+    return frames.frames_to_shots(frames.sample_periodic(shots, 7).select("media_id", "frame").distinct(), shots).select("media_id", "frame", "shot_index")
+
+
+@query(f"WITH {t.SHOTS} {_PERIODIC}")
+def sampler_periodic(spark, d):
+    return frames.sample_periodic(t.shots(spark, d), 7)
+
+
+@query(f"WITH {t.SHOTS} SELECT media_id, shot_index, (start_frame + floor((end_frame - start_frame) / 3))::BIGINT AS from_frame, (start_frame + ceil((end_frame - start_frame) * 2 / 3))::BIGINT AS to_frame FROM shots")
+def sampler_middle_third(spark, d):
+    return frames.sample_middle_third(t.shots(spark, d))
+
+
+@query(f"WITH {t.SHOTS} SELECT media_id, shot_index, ((start_frame + end_frame) // 2)::BIGINT AS frame FROM shots")
+def sampler_representative(spark, d):
+    return frames.sample_representative(t.shots(spark, d))
+
+
+_IOU = "greatest(least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x), 0) * greatest(least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y), 0)"
+
+
+@query(f"WITH {t.BOXES}, p AS (SELECT a.media_id, a.frame, a.det AS det_a, b.det AS det_b, {_IOU} AS i, a.w * a.h + b.w * b.h AS s FROM boxes a JOIN boxes b ON a.media_id = b.media_id AND a.frame = b.frame AND a.det < b.det) SELECT media_id, frame, det_a, det_b, round(i / (s - i), 6) AS iou FROM p WHERE i / (s - i) >= 0.1")
+def box_iou_pairs(spark, d):
+    return r6(frames.iou_pairs(t.boxes(spark, d), 0.1), "iou")
+
+
+@query(f"WITH {t.BOXES}, c AS (SELECT media_id, frame, det, least(greatest(x, 0), 1) AS cx, least(greatest(x + w, 0), 1) AS ex, least(greatest(y, 0), 1) AS cy, least(greatest(y + h, 0), 1) AS ey FROM boxes) SELECT media_id, frame, det, round(cx, 6) AS x, round(cy, 6) AS y, round(ex - cx, 6) AS w, round(ey - cy, 6) AS h FROM c")
+def box_clip_normalize(spark, d):
+    b = t.boxes(spark, d)
+    (x, w), (y, h) = clip(F.col("x"), F.col("w")), clip(F.col("y"), F.col("h"))
+    return r6(b.select("media_id", "frame", "det", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")), "x", "y", "w", "h")
+
+
+@query(f"WITH {t.BOXES} SELECT media_id, frame, det FROM boxes WHERE score >= 0.25 AND round(y + h / 2, 6) >= 0.2 AND round(y + h / 2, 6) < 0.85")
+def roi_filter(spark, d):
+    centre = F.round(F.col("y") + F.col("h") / 2, 6)
+    return t.boxes(spark, d).where((F.col("score") >= 0.25) & (centre >= 0.2) & (centre < 0.85)).select("media_id", "frame", "det")
+
+
+@query(f"WITH {t.BOXES}, tr AS (SELECT media_id, frame * 10 AS frame, min(x) AS x FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx FROM tr WINDOW w AS (PARTITION BY media_id ORDER BY frame)), g AS (SELECT *, unnest(range(frame + 4, nf, 4)) AS f FROM n WHERE nf - frame > 4) SELECT media_id, frame, round(x, 6) AS x, 'detector' AS kind FROM tr UNION ALL SELECT media_id, f, round(x + (nx - x) * (f - frame) / (nf - frame), 6), 'heuristic' FROM g")
+def track_gap_fill(spark, d):
+    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 10).alias("frame")).agg(F.min("x").alias("x"))
+    return r6(frames.gap_fill(track, 4), "x")
+
+
+@query(f"WITH {t.BOXES} SELECT media_id, count(DISTINCT frame) AS n_frames, max(frame) - min(frame) + 1 AS span, round(count(DISTINCT frame) / (max(frame) - min(frame) + 1), 6) AS persistence, round(avg(score), 6) AS score FROM boxes GROUP BY 1")
+def region_persistence(spark, d):
+    span = F.max("frame") - F.min("frame") + 1
+    out = t.boxes(spark, d).groupBy("media_id").agg(F.countDistinct("frame").alias("n_frames"), span.alias("span"), (F.countDistinct("frame") / span).alias("persistence"), F.avg("score").alias("score"))
+    return r6(out, "persistence", "score")
+
+
+_WINDOWS = "SELECT media_id, (start_frame // 15)::BIGINT AS w, avg(magnitude) AS magnitude, avg(coherence) AS coherence, count(*) AS n, atan2(avg(sin(direction)), avg(cos(direction))) AS direction FROM pairs GROUP BY ALL"
+
+
+@query(f"WITH {t.MOTION}, m AS ({_WINDOWS}) SELECT media_id, w, n, round(magnitude, 6) AS magnitude, round(coherence, 6) AS coherence, round(direction, 6) + 0.0 AS direction FROM m")
+def motion_windows_circular_mean(spark, d):
+    return r6(frames.motion_windows(t.motion_pairs(spark, d)), "magnitude", "coherence", "direction")
+
+
+@query(f"WITH {t.MOTION}, m AS ({_WINDOWS}), l AS (SELECT media_id, w, round(coherence, 6) AS coherence, CASE WHEN round(magnitude, 6) < 0.008 THEN 'static' WHEN round(coherence, 6) >= 0.5 THEN 'pan' ELSE 'shake' END AS move FROM m), q AS (SELECT *, (coalesce(lag(move) OVER (PARTITION BY media_id ORDER BY w), '') <> move)::INT AS nw FROM l), r AS (SELECT *, (sum(nw) OVER (PARTITION BY media_id ORDER BY w))::BIGINT AS run FROM q) SELECT media_id, run, move, min(w) AS first, max(w) AS last, round(avg(coherence), 5) AS score FROM r GROUP BY ALL")
+def camera_move_rle(spark, d):
+    w = frames.motion_windows(t.motion_pairs(spark, d))
+    move = F.when(F.round("magnitude", 6) < 0.008, "static").when(F.round("coherence", 6) >= 0.5, "pan").otherwise("shake")
+    out = frames.runs(w.select("media_id", "w", F.round("coherence", 6).alias("coherence"), move.alias("move")), "move", "w", "coherence")
+    return out.withColumn("score", F.round("score", 5))
+
+
+_HASH = f"{t.PATCH}, hs AS (SELECT media_id, frame_index, list_transform(patch, lambda v: (v >= list_sum(patch) / 64)::INT) AS bits FROM patches)"
+
+
+@query(f"WITH {_HASH}, n AS (SELECT *, lag(bits) OVER (PARTITION BY media_id ORDER BY frame_index) AS pb FROM hs), k AS (SELECT media_id, frame_index, list_sum(list_transform(list_zip(bits, pb), lambda z: abs(z[1] - z[2])))::BIGINT AS distance FROM n WHERE pb IS NOT NULL) SELECT media_id, frame_index, distance, (distance <= 6)::INT AS near_duplicate FROM k")
+def frame_ahash_near_duplicate(spark, d):
+    from pyspark.sql.window import Window
+
+    h = t.patches(spark, d).select("media_id", "frame_index", frames.average_hash(F.col("patch")).alias("bits"))
+    h = h.withColumn("pb", F.lag("bits").over(Window.partitionBy("media_id").orderBy("frame_index"))).where("pb is not null")
+    out = h.select("media_id", "frame_index", frames.hamming(F.col("bits"), F.col("pb")).cast("long").alias("distance"))
+    return out.withColumn("near_duplicate", (F.col("distance") <= frames.NEAR_DUPLICATE_BITS).cast("int"))
+
+
+_CELLS = ", ".join(f"patch[{ra * 8 + c + 1}] + patch[{rb * 8 + c + 1}] + patch[{r * 8 + ca + 1}] + patch[{r * 8 + cb + 1}] - 4 * patch[{r * 8 + c + 1}]" for r in range(8) for c in range(8) for ra, rb, ca, cb in [(abs(r - 1), r + 1 if r < 7 else 6, abs(c - 1), c + 1 if c < 7 else 6)])
+
+
+@query(f"WITH {t.PATCH}, l AS (SELECT media_id, frame_index, [{_CELLS}] AS cells FROM patches), u AS (SELECT media_id, frame_index, unnest(cells)::DOUBLE AS v FROM l) SELECT media_id, frame_index, (sum(v * v) * 64 - sum(v) * sum(v))::BIGINT AS sharpness_x4096 FROM u GROUP BY ALL")
+def patch_laplacian_variance(spark, d):
+    return t.patches(spark, d).select("media_id", "frame_index", F.round(frames.laplacian_variance(F.col("patch")) * 4096).cast("long").alias("sharpness_x4096"))
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, unnest(patch) AS v FROM patches) SELECT media_id, round(quantile_cont(v, 0.05), 6) AS p05, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.95), 6) AS p95, round(avg((v <= 110)::INT), 6) AS low_share, round(avg((v >= 145)::INT), 6) AS high_share FROM u GROUP BY 1")
+def exposure_percentiles(spark, d):
+    u = t.patches(spark, d).select("media_id", F.explode("patch").alias("v"))
+    out = u.groupBy("media_id").agg(*[F.percentile("v", F.lit(q)).alias(n) for n, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))], F.avg((F.col("v") <= 110).cast("int")).alias("low_share"), F.avg((F.col("v") >= 145).cast("int")).alias("high_share"))
+    return r6(out, "p05", "p50", "p95", "low_share", "high_share")
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, (unnest(patch) // 16)::INT AS colour FROM patches), c AS (SELECT media_id, colour, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY media_id) AS share, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, colour) AS rank FROM c) SELECT media_id, rank, colour, round(share, 6) AS share FROM s WHERE rank <= 5 AND share >= 0.02")
+def palette_topk(spark, d):
+    from pyspark.sql.window import Window
+
+    c = t.patches(spark, d).select("media_id", F.explode("patch").alias("v")).select("media_id", F.floor(F.col("v") / 16).cast("int").alias("colour")).groupBy("media_id", "colour").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("media_id")
+    out = c.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "colour")).cast("long"))
+    return r6(out.where("rank <= 5 AND share >= 0.02").select("media_id", "rank", "colour", "share"), "share")
+
+
+@query("WITH e AS (SELECT event_type AS stage, floor(value)::BIGINT AS duration_ms, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) AS r FROM events) SELECT stage, duration_ms FROM e WHERE r = greatest(1, floor(n * 0.95 + 0.999999))")
+def stage_latency_nearest_rank(spark, d):
+    e = t.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("duration_ms"), "event_id")
+    return control.nearest_rank(e, "stage", "duration_ms", ["event_id"], 0.95)
+
+
+@query("WITH b AS (SELECT o_custkey, floor(sum(floor(o_totalprice)) / 2) AS budget FROM orders GROUP BY 1), e AS (SELECT o_custkey, o_orderkey::BIGINT AS key, floor(o_totalprice)::BIGINT AS size, budget, sum(floor(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, floor(o_totalprice) DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS s FROM orders JOIN b USING (o_custkey)) SELECT o_custkey::BIGINT AS cache, key, size FROM e WHERE s <= budget")
+def cache_lru_ttl_prune(spark, d):
+    o = t.table(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("cache"), F.col("o_orderkey").cast("long").alias("key"), F.col("o_orderdate").alias("mtime"), F.floor("o_totalprice").alias("size"))
+    o = o.join(o.groupBy("cache").agg(F.floor(F.sum("size") / 2).alias("budget")), "cache")
+    return control.prune(o, F.current_date(), 0, F.col("budget"), "cache").select("cache", "key", "size")
+
+
+@query("SELECT sha256(coalesce(text, '')) AS sha256, min(doc_id) AS first_asset, count(*) AS n_assets, max(octet_length(encode(coalesce(text, ''))))::BIGINT AS byte_count FROM documents GROUP BY 1")
+def source_sha256_dedup(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return t.table(spark, d, "documents").groupBy(F.sha2(text, 256).alias("sha256")).agg(F.min("doc_id").alias("first_asset"), F.count("*").alias("n_assets"), F.max(F.octet_length(text)).cast("long").alias("byte_count"))
+
+
+@query("SELECT doc_id AS asset_id, octet_length(encode(text))::BIGINT AS byte_count, CASE WHEN octet_length(encode(text)) > 8192 THEN 'SOURCE_TOO_LARGE' ELSE 'ok' END AS verdict FROM documents")
+def source_byte_limit(spark, d):
+    n = F.octet_length("text").cast("long")
+    return t.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), n.alias("byte_count"), F.when(n > 8192, "SOURCE_TOO_LARGE").otherwise("ok").alias("verdict"))
+
+
+_HOST = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+
+
+@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host FROM h WHERE host = 'example.com' OR host LIKE '%.example.com' OR host LIKE '%.example.org'")
+def host_allowlist_semi_join(spark, d):
+    h = t.table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
+    return control.allowed_hosts(h, ["example.com"], ["example.com", "example.org"])
+
+
+@query("SELECT o_orderkey::BIGINT AS grant_id, CASE WHEN o_orderdate < DATE '1995-01-01' THEN 'expired' ELSE 'live' END AS state FROM orders WHERE o_orderpriority <> '5-LOW'")
+def grant_expiry_filter(spark, d):
+    return t.table(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").cast("long").alias("grant_id"), F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("date"), "expired").otherwise("live").alias("state"))
+
+
+@query("SELECT user_id AS idempotency_key, count(DISTINCT sha256(props)) AS n_hashes, count(*) AS n_jobs FROM events GROUP BY 1 HAVING count(DISTINCT sha256(props)) > 1")
+def idempotency_conflicts(spark, d):
+    return control.conflicts(t.table(spark, d, "events").select(F.col("user_id").alias("idempotency_key"), F.sha2("props", 256).alias("request_hash")))
+
+
+@query("""SELECT event_id, sha256('{"features":["' || event_type || '"],"sourceSha256":"' || sha256(props) || '","user":' || user_id::VARCHAR || '}') AS request_hash FROM events""")
+def request_hash_stable(spark, d):
+    body = F.concat(F.lit('{"features":["'), F.col("event_type"), F.lit('"],"sourceSha256":"'), F.sha2("props", 256), F.lit('","user":'), F.col("user_id").cast("string"), F.lit("}"))
+    return t.table(spark, d, "events").select("event_id", F.sha2(body, 256).alias("request_hash"))
+
+
+@query("SELECT sum((doc_id % 3 <> 0 AND quality = 1)::INT)::BIGINT AS hits, round(sum((doc_id % 3 <> 0 AND quality = 1)::INT) / sum((doc_id % 3 <> 0)::INT), 6) AS precision, round(sum((doc_id % 3 <> 0 AND quality = 1)::INT) / sum((quality = 1)::INT), 6) AS recall FROM labels")
+def label_precision_recall(spark, d):
+    return r6(control.precision_recall(t.table(spark, d, "labels").select((F.col("doc_id") % 3 != 0).alias("predicted"), (F.col("quality") == 1).alias("actual"))), "precision", "recall")
+
+
+@query("SELECT user_id, CASE WHEN sum((event_type <> 'error')::INT) = count(*) THEN 'ok' WHEN sum((event_type <> 'error')::INT) = 0 THEN 'failed' ELSE 'partial' END AS status, count(*) AS n_parts FROM events GROUP BY 1")
+def overall_status_rollup(spark, d):
+    return control.overall_status(t.table(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("ok")), "user_id")
+
+
+@query("SELECT n_name AS feature, r_name AS grp, (n_nationkey % 3 = 0)::INT AS available FROM nation JOIN region ON n_regionkey = r_regionkey")
+def capability_matrix(spark, d):
+    return t.table(spark, d, "nation").join(F.broadcast(t.table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("feature"), F.col("r_name").alias("grp"), (F.col("n_nationkey") % 3 == 0).cast("int").alias("available"))
+
+
+@query("SELECT p_partkey::BIGINT AS model FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity >= 40)")
+def model_manifest_antijoin(spark, d):
+    used = t.table(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("p_partkey"))
+    return t.table(spark, d, "part").join(used, "p_partkey", "left_anti").select(F.col("p_partkey").cast("long").alias("model"))
+
+
+@query(f"WITH RECURSIVE {t.SIG}, e AS (SELECT media_id, sample_index, x AS s FROM sig WHERE sample_index = 0 UNION ALL SELECT g.media_id, g.sample_index, 0.65::DOUBLE * g.x + 0.35::DOUBLE * e.s FROM e JOIN sig g ON g.media_id = e.media_id AND g.sample_index = e.sample_index + 1) SELECT media_id, sample_index, round(s, 6) + 0.0 AS smoothed FROM e")
+def ema_stabilized_series(spark, d):
+    return r6(frames.ema(t.signal(spark, d).select("media_id", "sample_index", "x"), "x"), "smoothed")
+
+
+@query()
+def detection_nms(spark, d):
+    return frames.nms(t.boxes(spark, d))
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, frame_index, unnest(patch) AS v FROM patches), p AS (SELECT media_id, frame_index, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, avg(v) AS mean FROM u GROUP BY ALL) SELECT media_id, frame_index, round(lo, 4) AS p1, round(hi, 4) AS p99, round(CASE WHEN hi > lo THEN least(1, greatest(0, (mean - lo) / (hi - lo))) ELSE 0 END, 6) AS mean_depth FROM p")
+def depth_normalize_p1_p99(spark, d):
+    u = t.patches(spark, d).select("media_id", "frame_index", F.explode("patch").alias("v"))
+    p = u.groupBy("media_id", "frame_index").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"), F.avg("v").alias("mean"))
+    depth = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.0)
+    return p.select("media_id", "frame_index", F.round("lo", 4).alias("p1"), F.round("hi", 4).alias("p99"), F.round(depth, 6).alias("mean_depth"))
