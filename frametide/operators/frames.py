@@ -116,7 +116,9 @@ def nms(boxes: DataFrame, least: float = NMS_IOU) -> DataFrame:
             left = rest[both <= least * (w[i] * h[i] + w[rest] * h[rest] - both)]
         return rows.iloc[kept][["media_id", "frame", "det", "score"]]
 
-    return boxes.groupBy("media_id", "frame").applyInPandas(keep, "media_id long, frame long, det int, score double")
+    counted = boxes.withColumn("_n", F.count("*").over(Window.partitionBy("media_id", "frame")))
+    alone = counted.where("_n = 1").select("media_id", "frame", "det", "score")  # nothing to suppress
+    return alone.union(counted.where("_n > 1").drop("_n").groupBy("media_id", "frame").applyInPandas(keep, "media_id long, frame long, det int, score double"))
 
 
 def ema(series: DataFrame, value: str, weight: float = EMA_WEIGHT) -> DataFrame:
