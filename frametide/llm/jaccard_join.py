@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from frametide.llm.common import Words, bounded_broadcast, connected_components, materialize, mix64, remove_path, utf8, word_blocks
 
-SHINGLE, GROUPS, BANDS, ROWS, PIECE, LEAF = 4, 64, 32, 3, 2048, 32
+SHINGLE, GROUPS, BANDS, ROWS, PIECE, LEAF = 4, 128, 32, 3, 2048, 32
 #: Similarity is at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 85, 100
 #: Sets up to this size get a hash function for each min-hash; larger ones one function cut into as many ranges.
