@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -82,23 +83,31 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, bootstrap: in
     """
     y = np.array(labels, dtype=float)
     vocabulary: dict[str, int] = {}
-    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], dtype=np.int32) for t in texts]
     if not vocabulary or y.min() == y.max():
         rate_1 = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, dtype=np.float32), 0.0, 1.0, float(np.log(rate_1 / (1 - rate_1))))
-    subs = [subwords(w) for w in vocabulary]
-    n_subs = np.array([len(x) for x in subs])
-    flat, starts = np.concatenate(subs), np.concatenate([[0], np.cumsum(n_subs)[:-1]])
+    n_subs = np.zeros(len(vocabulary), dtype=np.int64)
+    grams = array("i")
+    for i, w in enumerate(vocabulary):
+        own = subwords(w)
+        n_subs[i] = len(own)
+        grams.extend(own)
+    flat = np.frombuffer(grams, dtype=np.int32)
+    starts = np.concatenate([[0], np.cumsum(n_subs)])
     seen_in = np.zeros((2, BUCKETS))
     for d, label in zip(docs, labels, strict=True):
         if len(d):
-            seen_in[int(label), np.unique(np.concatenate([subs[w] for w in np.unique(d)]))] += 1
+            seen_in[int(label), np.unique(np.concatenate([flat[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
     seen = seen_in.sum(axis=0)
     odds = np.log((seen_in[1] + 1) / (y.sum() + 2)) - np.log((seen_in[0] + 1) / ((1 - y).sum() + 2))
     odds = np.sign(odds) * np.maximum(0, np.abs(odds) - sure * np.sqrt(1 / (seen_in[1] + 1) + 1 / (seen_in[0] + 1)))
     told = (seen >= min_docs) & (odds != 0)
     place = np.cumsum(told) * told  # row of each n-gram that is used; row 0 stays zero
-    flat, rows = place[flat], int(place.max()) + 1
+    rows = int(place.max()) + 1
+    entries = np.flatnonzero(told[flat])  # the n-grams that count, and the words they stand in
+    gram_of, word_of = place[flat[entries]], (np.searchsorted(starts, entries, "right") - 1)
+    del flat, grams, entries
     tokens = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     doc_start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -119,7 +128,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, bootstrap: in
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     z = np.zeros(len(w_start))
     for step in range(bootstrap + rounds + 1):
-        part = gain * np.add.reduceat((e @ u)[flat], starts) / n_subs  # a word's mean of its n-grams' parts of the logit
+        part = gain * np.bincount(word_of, weights=(e @ u)[gram_of], minlength=len(n_subs)) / n_subs  # a word's mean of its n-grams' parts of the logit
         z = np.add.reduceat(part[tokens], w_start) / w_len + bias
         if step == bootstrap + rounds:
             break
@@ -131,7 +140,7 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, bootstrap: in
             weight[best] = balance[w_doc[best]]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[w_doc]) * weight
         of_word = np.bincount(tokens, weights=(error / w_len)[token_w], minlength=len(n_subs))
-        of_gram = gain * np.bincount(flat, weights=np.repeat(of_word / n_subs, n_subs), minlength=rows)
+        of_gram = gain * np.bincount(gram_of, weights=(of_word / n_subs)[word_of], minlength=rows)
         of_gram[0] = 0
         d_e, d_u, d_b = np.outer(of_gram, u), of_gram @ e, error.sum()
         ge += (d_e**2).max()
