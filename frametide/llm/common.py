@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at once (a longer single text is one block of its own).
 BLOCK_BYTES = 1 << 21
+#: Spark's setting that drops an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,16 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back; cuts lineage and survives lost executors."""
+    """Write ``df`` as a table in the shared folder and read it back; cuts lineage and survives lost executors.
+
+    Nothing reads the shuffle files of the write again, so they go when it is done.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/frametide/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.select("*").write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def remove_path(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:

@@ -210,7 +210,8 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row; component_id is the smallest id reached by links."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows, _ = materialize(signatures(docs), "jaccard-rows")
+    spark = df.sparkSession
+    rows, rows_path = materialize(signatures(docs), "jaccard-rows")
     name = ["n_shingles", "s1", "s2"]
     classes = rows.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
     reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*name, "doc_id"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
@@ -224,23 +225,28 @@ def components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     members = members.select("key", (F.least("piece", "other") * F.col("pieces") + F.greatest("piece", "other")).alias("cell"), "rep", "n", F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side"), "counts")
     members, members_path = materialize(members, "jaccard-members")
-    remove_path(df.sparkSession, keys_path)
+    remove_path(spark, keys_path, reps_path)
 
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    ids, _ = materialize(ids, "jaccard-ids")
+    ids, ids_path = materialize(ids, "jaccard-ids")
     texts, texts_path = materialize(docs.join(bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi"), "jaccard-texts")
 
     def trees(labelled: DataFrame, nearest: bool) -> DataFrame:
         return _pairs(labelled.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep"), nearest)
 
-    first, _ = materialize(trees(members.withColumn("label", F.col("rep")), True), "jaccard-nearest")
-    links, _ = materialize(_verify(first, texts), "jaccard-links")
+    first, first_path = materialize(trees(members.withColumn("label", F.col("rep")), True), "jaccard-nearest")
+    links, links_path = materialize(_verify(first, texts), "jaccard-links")
     known, _ = materialize(connected_components(links, "jaccard-known"), "jaccard-known")
+    remove_path(spark, links_path)
     labelled = members.join(known.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     rest = trees(labelled.select("key", "cell", "rep", "n", "side", "counts", "label"), False).join(first, ["a", "b"], "left_anti")
     more, _ = materialize(_verify(rest, texts), "jaccard-more")
+    remove_path(spark, members_path, texts_path, ids_path, first_path)
     edges = more.select("u", "v").union(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
     whole = connected_components(edges, "jaccard-whole")
     labels = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("label"))
     out = rows.select("doc_id", *name).join(labels, name, "left")
-    return out.select(F.col("doc_id").cast(dict(df.dtypes)[id_col]).alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = out.select(F.col("doc_id").cast(dict(df.dtypes)[id_col]).alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
+    out, _ = materialize(out, "jaccard-components")
+    remove_path(spark, rows_path)
+    return out
