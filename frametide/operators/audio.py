@@ -34,6 +34,21 @@ def local_maxima(series: DataFrame, value: str, threshold: float) -> DataFrame:
     return out.where((F.col(value) >= threshold) & (F.col(value) > F.col("_before")) & (F.col(value) >= F.col("_after"))).drop("_before", "_after")
 
 
+def autocorrelation(series: DataFrame, value: str, lags: int) -> DataFrame:
+    """(media_id, lag, corr): the sum of x(i) * x(i + lag) for lags from 1; the partners come from one window, not from a self-join."""
+    w = Window.partitionBy("media_id").orderBy("sample_index")
+    products = series.select("media_id", *[(F.col(value) * F.lead(value, k).over(w)).alias(f"_{k}") for k in range(1, lags + 1)])
+    sums = products.groupBy("media_id").agg(*[F.sum(f"_{k}").alias(f"_{k}") for k in range(1, lags + 1)])
+    table = F.array(*[F.struct(F.lit(k).cast("long").alias("lag"), F.col(f"_{k}").alias("corr")) for k in range(1, lags + 1)])
+    return sums.select("media_id", F.explode(table).alias("r")).select("media_id", "r.lag", "r.corr").where("corr is not null")
+
+
+def best_lag(table: DataFrame, least: int) -> DataFrame:
+    """The lag of the greatest correlation among those from ``least`` on; the smallest on ties."""
+    w = Window.partitionBy("media_id").orderBy(F.round("corr", 6).desc(), "lag")
+    return table.where(F.col("lag") >= least).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
 def novelty_threshold(series: DataFrame, value: str) -> DataFrame:
     """The greatest of a floor, a share of the maximum, and median + 4 median absolute deviations."""
     mid = series.groupBy("media_id").agg(F.percentile(value, F.lit(0.5)).alias("middle"), F.max(value).alias("top"))

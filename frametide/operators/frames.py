@@ -37,6 +37,20 @@ def sample_periodic(shots: DataFrame, step: int) -> DataFrame:
     return shots.where("end_frame > start_frame").select("media_id", "shot_index", F.explode(F.sequence("start_frame", F.col("end_frame") - 1, F.lit(step).cast("long"))).alias("frame"))
 
 
+def sample_periodic_with_last(shots: DataFrame, step: int) -> DataFrame:
+    """Every ``step``-th frame of each shot, and its last."""
+    every = F.concat(F.sequence("start_frame", F.col("end_frame") - 1, F.lit(step).cast("long")), F.array(F.col("end_frame") - 1))
+    return shots.where("end_frame > start_frame").select("media_id", "shot_index", F.explode(F.array_distinct(every)).alias("frame"))
+
+
+def sample_text_frames(shots: DataFrame, burst: int = 2) -> DataFrame:
+    """Each shot's middle frame, the frames within ``burst`` of its first and last, and the media's first and last; distinct."""
+    rows = shots.where("end_frame > start_frame").withColumn("_last", F.max(F.col("end_frame") - 1).over(Window.partitionBy("media_id")))
+    around = lambda c: F.sequence(F.greatest(c - burst, F.lit(0)), F.least(c + burst, F.col("_last")))
+    ends = F.array(F.lit(0).cast("long"), F.col("_last"), F.floor((F.col("start_frame") + F.col("end_frame")) / 2))
+    return rows.select("media_id", F.explode(F.concat(ends, around(F.col("start_frame")), around(F.col("end_frame") - 1))).alias("frame")).distinct()
+
+
 def sample_middle_third(shots: DataFrame) -> DataFrame:
     n = F.col("end_frame") - F.col("start_frame")
     return shots.select("media_id", "shot_index", (F.col("start_frame") + F.floor(n / 3)).alias("from_frame"), (F.col("start_frame") + F.ceil(n * 2 / 3)).alias("to_frame"))
@@ -102,6 +116,22 @@ def laplacian_variance(patch: Column, side: int = 8) -> Column:
     return square / n - (total / n) * (total / n)
 
 
+def share(patch: Column, holds) -> Column:
+    """Share of the patch's pixels for which ``holds`` is true."""
+    return F.size(F.filter(patch, holds)) / F.size(patch)
+
+
+def sharpest(frames: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The frame of the greatest score of each group; the lowest on ties."""
+    w = Window.partitionBy(*keys).orderBy(F.col(score).desc(), "frame_index")
+    return frames.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def quality_flags(sharpness: Column, blown: Column, crushed: Column, soft: float, blown_share: float = 0.018, crushed_share: float = 0.022) -> Column:
+    """Flags that apply, in a fixed order, joined by commas."""
+    return F.concat_ws(",", F.when(sharpness < soft, "soft_focus"), F.when(blown >= blown_share, "blown"), F.when(crushed >= crushed_share, "crushed"))
+
+
 def nms(boxes: DataFrame, least: float = NMS_IOU) -> DataFrame:
     """Greedy suppression in each frame, by score, then by index, both descending. Groups are single frames."""
 

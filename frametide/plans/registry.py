@@ -286,3 +286,59 @@ def depth_normalize_p1_p99(spark, d):
     p = u.groupBy("media_id", "frame_index").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"), F.avg("v").alias("mean"))
     depth = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.0)
     return p.select("media_id", "frame_index", F.round("lo", 4).alias("p1"), F.round("hi", 4).alias("p99"), F.round(depth, 6).alias("mean_depth"))
+
+
+_CORR = "corr AS (SELECT a.media_id, (b.sample_index - a.sample_index)::BIGINT AS lag, sum(a.x * b.x) AS corr FROM sig a JOIN sig b ON a.media_id = b.media_id AND b.sample_index > a.sample_index AND b.sample_index <= a.sample_index + 8 GROUP BY ALL)"
+
+
+@query(f"WITH {t.SIG}, {_CORR} SELECT media_id, lag, round(corr, 6) AS corr FROM corr")
+def autocorr_lag_table(spark, d):
+    return r6(audio.autocorrelation(t.signal(spark, d), "x", 8), "corr")
+
+
+@query(f"WITH {t.SIG}, {_CORR}, r AS (SELECT *, row_number() OVER (PARTITION BY media_id ORDER BY round(corr, 6) DESC, lag) AS k FROM corr WHERE lag >= 2) SELECT media_id, lag, round(corr, 6) AS corr FROM r WHERE k = 1")
+def tempo_argmax_lag(spark, d):
+    return r6(audio.best_lag(audio.autocorrelation(t.signal(spark, d), "x", 8), 2), "corr")
+
+
+@query(f"WITH {t.SHOTS} SELECT media_id, shot_index, unnest(list_distinct(list_append(range(start_frame, end_frame, 7), end_frame - 1))) AS frame FROM shots")
+def sampler_periodic_with_last(spark, d):
+    return frames.sample_periodic_with_last(t.shots(spark, d), 7)
+
+
+@query(f"WITH {t.SHOTS}, m AS (SELECT *, max(end_frame - 1) OVER (PARTITION BY media_id) AS top FROM shots), f AS (SELECT media_id, unnest(list_concat([0, top, (start_frame + end_frame) // 2], list_concat(range(greatest(start_frame - 2, 0), least(start_frame + 2, top) + 1), range(greatest(end_frame - 3, 0), least(end_frame + 1, top) + 1)))) AS frame FROM m) SELECT DISTINCT media_id, frame::BIGINT AS frame FROM f")
+def sampler_ocr_keyframes(spark, d):
+    return frames.sample_text_frames(t.shots(spark, d))
+
+
+_SHARP = f"{t.PATCH}, l AS (SELECT media_id, frame_index, patch, [{_CELLS}] AS cells FROM patches), u AS (SELECT media_id, frame_index, unnest(cells)::DOUBLE AS v FROM l), sharp AS (SELECT media_id, frame_index, (sum(v * v) * 64 - sum(v) * sum(v))::BIGINT AS sharpness FROM u GROUP BY ALL)"
+
+
+def _sharpness(spark, d):
+    return t.patches(spark, d).select("media_id", "frame_index", "patch", F.round(frames.laplacian_variance(F.col("patch")) * 4096).cast("long").alias("sharpness"))
+
+
+@query(f"WITH {_SHARP}, r AS (SELECT media_id, (frame_index // 10)::BIGINT AS shot, frame_index, sharpness, row_number() OVER (PARTITION BY media_id, frame_index // 10 ORDER BY sharpness DESC, frame_index) AS k FROM sharp) SELECT media_id, shot, frame_index, sharpness FROM r WHERE k = 1")
+def sharpest_frame_per_shot(spark, d):
+    rows = _sharpness(spark, d).select("media_id", F.floor(F.col("frame_index") / 10).alias("shot"), "frame_index", "sharpness")
+    return frames.sharpest(rows, ["media_id", "shot"], "sharpness")
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, frame_index, unnest(patch) AS v FROM patches) SELECT media_id, frame_index, round(avg((v >= 160)::INT), 6) AS blown, round(avg((v <= 95)::INT), 6) AS crushed FROM u GROUP BY ALL")
+def clip_fractions(spark, d):
+    p = F.col("patch")
+    return r6(t.patches(spark, d).select("media_id", "frame_index", frames.share(p, lambda v: v >= 160).alias("blown"), frames.share(p, lambda v: v <= 95).alias("crushed")), "blown", "crushed")
+
+
+@query(f"WITH {_SHARP}, c AS (SELECT media_id, frame_index, avg((v >= 160)::INT) AS blown, avg((v <= 95)::INT) AS crushed FROM (SELECT media_id, frame_index, unnest(patch) AS v FROM patches) GROUP BY ALL) SELECT media_id, frame_index, concat_ws(',', CASE WHEN sharpness < 24000000 THEN 'soft_focus' END, CASE WHEN blown >= 0.018 THEN 'blown' END, CASE WHEN crushed >= 0.022 THEN 'crushed' END) AS flags FROM sharp JOIN c USING (media_id, frame_index)")
+def quality_flags(spark, d):
+    p = F.col("patch")
+    flags = frames.quality_flags(F.col("sharpness"), frames.share(p, lambda v: v >= 160), frames.share(p, lambda v: v <= 95), 24_000_000)
+    return _sharpness(spark, d).select("media_id", "frame_index", flags.alias("flags"))
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, (frame_index // 10)::BIGINT AS shot, unnest(patch) / 255 AS v FROM patches), p AS (SELECT media_id, shot, avg(v) AS mean, quantile_cont(v, 0.05) AS lo, quantile_cont(v, 0.95) AS hi FROM u GROUP BY ALL) SELECT media_id, shot, round(mean, 6) AS mean_luma, round(lo, 6) AS p05_luma, round(hi, 6) AS p95_luma, round(hi - lo, 6) AS contrast FROM p")
+def exposure_per_shot(spark, d):
+    u = t.patches(spark, d).select("media_id", F.floor(F.col("frame_index") / 10).alias("shot"), F.explode("patch").alias("v")).withColumn("v", F.col("v") / 255)
+    p = u.groupBy("media_id", "shot").agg(F.avg("v").alias("mean_luma"), F.percentile("v", F.lit(0.05)).alias("p05_luma"), F.percentile("v", F.lit(0.95)).alias("p95_luma"))
+    return r6(p.withColumn("contrast", F.col("p95_luma") - F.col("p05_luma")), "mean_luma", "p05_luma", "p95_luma", "contrast")
