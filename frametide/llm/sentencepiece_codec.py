@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,56 +24,84 @@ from pyspark.sql import DataFrame
 MARK = "▁"
 #: Distinct words kept by a task before the table is begun anew (bounds its memory, not the result).
 TABLE_WORDS = 200_000
+#: Characters of the texts that are segmented together.
+SLICE_CHARS = 1 << 20
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 _PROBES = ("a", "A é  ａﬁ b", "é x\ty　z\r\n ")
 
 
 class ChunkTable:
-    """Ids and decoded text of each distinct marked word seen."""
+    """Ids and decoded text of each distinct marked word seen.
+
+    Word ``r`` has the ids ``pieces[start[r] : start[r] + size[r]]`` and decodes to ``words[r]``.
+    """
 
     def __init__(self, model: bytes, most: int = TABLE_WORDS):
         self.lib = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.most = most
         self.alone = self.lib.piece_to_id(MARK)
-        self.ids: dict[str, np.ndarray] = {}
-        self.text: dict[str, str] = {}
-        pieces = [self.lib.id_to_piece(i) for i in range(self.lib.get_piece_size())]
+        everything = range(self.lib.get_piece_size())
+        pieces = [self.lib.id_to_piece(i) for i in everything]
+        self.surface = [x.replace(MARK, " ") for x in pieces]
+        self.length = np.array([len(x) for x in pieces], dtype=np.int64)
+        #: Pieces that do not decode to their own characters.
+        self.odd = np.array([self.lib.is_unknown(i) or self.lib.is_control(i) or self.lib.is_unused(i) or self.lib.is_byte(i) for i in everything])
         self.by_chunk = not any(MARK in x.lstrip(MARK) for x in pieces) and all(self._same(x) for x in _PROBES) and self.lib.id_to_piece(self.alone) == MARK
+        self._clear()
 
     def _same(self, text: str) -> bool:
         """The model keeps the text as it is, behind one marker."""
         return self.lib.normalize(text) == MARK + text.replace(" ", MARK)
 
+    def _clear(self) -> None:
+        self.row: dict[str, int] = {}
+        self.words: list[str] = []
+        self.pieces, self.start, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
     def _segment(self, chunks: list[str]) -> None:
-        for chunk, ids in zip(chunks, self.lib.encode([x[1:].replace(MARK, " ") for x in chunks], num_threads=1), strict=True):
-            if chunk == MARK:
-                ids = [self.alone]
-            self.ids[chunk] = np.array(ids, dtype=np.int32)
-            self.text[chunk] = " " + self.lib.decode(ids)
+        """Add words that are not in the table yet. Only words with odd pieces need the library to decode them."""
+        if not chunks:
+            return
+        got = self.lib.encode([x[1:].replace(MARK, " ") for x in chunks], num_threads=1)
+        if MARK in chunks:
+            got[chunks.index(MARK)] = [self.alone]
+        size = np.fromiter(map(len, got), np.int64, len(got))
+        ends = np.concatenate([[0], np.cumsum(size)])
+        flat = np.fromiter(chain.from_iterable(got), np.int32, ends[-1])
+        joined = "".join(map(self.surface.__getitem__, flat.tolist()))
+        cuts = np.concatenate([[0], np.cumsum(self.length[flat])])[ends].tolist()
+        words = [joined[a:b] for a, b in pairwise(cuts)]
+        odd = np.concatenate([[0], np.cumsum(self.odd[flat])])[ends]
+        for i in np.flatnonzero(np.diff(odd)).tolist():
+            words[i] = " " + self.lib.decode(got[i])
+        self.row.update(zip(chunks, range(len(self.words), len(self.words) + len(chunks)), strict=True))
+        self.words += words
+        self.start = np.concatenate([self.start, ends[:-1] + len(self.pieces)])
+        self.size = np.concatenate([self.size, size])
+        self.pieces = np.concatenate([self.pieces, flat])
 
     def encode_decode(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         if not self.by_chunk:
             rows = self.lib.encode(texts, num_threads=1)
             return [np.array(x, dtype=np.int32) for x in rows], [self.lib.decode(x) for x in rows]
-        ids, decoded = [], []
-        for text in texts:
-            if not text:
-                ids.append(np.zeros(0, dtype=np.int32))
-                decoded.append("")
-                continue
-            chunks = _CHUNK.findall(MARK + text.replace(" ", MARK))
-            distinct = dict.fromkeys(chunks)
-            new = [x for x in distinct if x not in self.ids]
-            if len(self.ids) + len(new) > self.most:
-                self.ids.clear()
-                self.text.clear()
-                new = list(distinct)
-            self._segment(new)
-            table, words = self.ids, self.text
-            ids.append(np.concatenate([table[x] for x in chunks]))
-            decoded.append("".join([words[x] for x in chunks])[1:])
-        return ids, decoded
+        if not texts:
+            return [], []
+        chunks = [_CHUNK.findall(MARK + x.replace(" ", MARK)) if x else [] for x in texts]
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in chunks])])
+        distinct = dict.fromkeys(chain.from_iterable(chunks))
+        new = [x for x in distinct if x not in self.row]
+        if len(self.row) + len(new) > self.most:
+            self._clear()
+            new = list(distinct)
+        self._segment(new)
+        at = np.fromiter(map(self.row.__getitem__, chain.from_iterable(chunks)), np.int64, cuts[-1])
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.pieces[np.repeat(self.start[at] - ends[:-1], size) + np.arange(ends[-1])]
+        rows = at.tolist()
+        decoded = ["".join(map(self.words.__getitem__, rows[a:b]))[1:] for a, b in pairwise(cuts.tolist())]
+        return np.split(ids, ends[cuts[1:-1]]), decoded
 
 
 def encode(df: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,7 +114,7 @@ def encode(df: DataFrame, model: bytes, *, id_col: str = "doc_id", text_col: str
         table = ChunkTable(model)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE_CHARS):
                 ids, decoded = table.encode_decode([x or "" for x in texts[lo:hi]])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])])
                 flat = np.concatenate(ids)
