@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from frametide.functions.geometry import iou
 
-#: Hash side and distance, clip levels, gap of a track, windows of motion pairs, suppression overlap, smoothing weight.
+#: Hash side and distance, clip levels, gap of a track, windows of motion pairs, suppression overlap, smoothing weight of the past.
 NEAR_DUPLICATE_BITS, CLIP_LOW, CLIP_HIGH, MOTION_WINDOW, NMS_IOU, EMA_WEIGHT = 6, 5, 250, 15, 0.45, 0.65
 
 
@@ -152,13 +152,13 @@ def nms(boxes: DataFrame, least: float = NMS_IOU) -> DataFrame:
 
 
 def ema(series: DataFrame, value: str, weight: float = EMA_WEIGHT) -> DataFrame:
-    """Exponential smoothing of each media's series: the first value, then weight * new + (1 - weight) * smoothed."""
+    """Exponential smoothing of each media's series: the first value, then weight * smoothed + (1 - weight) * new."""
 
     def smooth(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("sample_index")
         out, now = [], None
         for v in rows[value]:
-            now = v if now is None else weight * v + (1 - weight) * now
+            now = v if now is None else weight * now + (1 - weight) * v
             out.append(now)
         return pd.DataFrame({"media_id": rows["media_id"], "sample_index": rows["sample_index"], "smoothed": out})
 

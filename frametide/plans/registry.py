@@ -270,7 +270,7 @@ def model_manifest_antijoin(spark, d):
     return t.table(spark, d, "part").join(used, "p_partkey", "left_anti").select(F.col("p_partkey").cast("long").alias("model"))
 
 
-@query(f"WITH RECURSIVE {t.SIG}, e AS (SELECT media_id, sample_index, x AS s FROM sig WHERE sample_index = 0 UNION ALL SELECT g.media_id, g.sample_index, 0.65::DOUBLE * g.x + 0.35::DOUBLE * e.s FROM e JOIN sig g ON g.media_id = e.media_id AND g.sample_index = e.sample_index + 1) SELECT media_id, sample_index, round(s, 6) + 0.0 AS smoothed FROM e")
+@query(f"WITH RECURSIVE {t.SIG}, e AS (SELECT media_id, sample_index, x AS s FROM sig WHERE sample_index = 0 UNION ALL SELECT g.media_id, g.sample_index, 0.65::DOUBLE * e.s + 0.35::DOUBLE * g.x FROM e JOIN sig g ON g.media_id = e.media_id AND g.sample_index = e.sample_index + 1) SELECT media_id, sample_index, round(s, 6) + 0.0 AS smoothed FROM e")
 def ema_stabilized_series(spark, d):
     return r6(frames.ema(t.signal(spark, d).select("media_id", "sample_index", "x"), "x"), "smoothed")
 
