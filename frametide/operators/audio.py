@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Speech threshold, shortest speech and shortest silence in seconds, silence floor, threshold parts of rhythm novelty.
+#: Speech threshold, shortest speech and shortest silence in seconds, silence floor, threshold parts of rhythm novelty, spread of a tempo.
 SPEECH_THRESHOLD, MIN_SPEECH, MIN_SILENCE = 0.5, 0.10, 0.15
-NOVELTY_FLOOR, NOVELTY_OF_MAX, NOVELTY_MADS = 0.001, 0.15, 4
+NOVELTY_FLOOR, NOVELTY_OF_MAX, NOVELTY_MADS, TEMPO_SPREAD = 0.001, 0.15, 4, 0.12
 
 
 def rms_hops(pcm: DataFrame, hop: int) -> DataFrame:
@@ -75,3 +77,45 @@ def speech_segments(vad: DataFrame, threshold: float = SPEECH_THRESHOLD) -> Data
 
 def rounded(c: str | Column, digits: int = 6) -> Column:
     return F.round(c, digits)
+
+
+def merge_onsets(peaks: DataFrame, least_gap: float) -> DataFrame:
+    """(media_id, sec, strength): peaks nearer than ``least_gap`` to the last accepted one replace it if stronger; its time as anchor stays.
+
+    A peak that far from the one before it is always accepted, so the series falls into islands that are folded apart, by an
+    expression: no group is larger than a burst of peaks.
+    """
+    w = Window.partitionBy("media_id").orderBy("sec")
+    fresh = F.coalesce(F.round(F.col("sec") - F.lag("sec").over(w), 6) >= least_gap, F.lit(True)).cast("int")
+    rows = peaks.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(w))
+    lists = rows.groupBy("media_id", "_island").agg(F.array_sort(F.collect_list(F.struct(F.col("sec").cast("double").alias("sec"), F.col("strength").cast("double").alias("strength")))).alias("p"))
+    kind = "struct<out:array<struct<sec:double,strength:double>>,anchor:double>"
+
+    def step(acc: Column, p: Column) -> Column:
+        out = acc["out"]
+        accepted = F.struct(F.concat(out, F.array(p)).alias("out"), p["sec"].alias("anchor")).cast(kind)
+        replaced = F.struct(F.concat(F.slice(out, 1, F.size(out) - 1), F.array(p)).alias("out"), acc["anchor"].alias("anchor")).cast(kind)
+        return F.when(acc["anchor"].isNull() | (F.round(p["sec"] - acc["anchor"], 6) >= least_gap), accepted).when(p["strength"] > F.element_at(out, -1)["strength"], replaced).otherwise(acc)
+
+    zero = F.struct(F.array().alias("out"), F.lit(None).alias("anchor")).cast(kind)
+    return lists.select("media_id", F.explode(F.aggregate("p", zero, step, lambda a: a["out"])).alias("o")).select("media_id", "o.sec", "o.strength")
+
+
+def tempo_runs(events: DataFrame, min_bpm: float, max_bpm: float) -> DataFrame:
+    """(media_id, run, start_sec, end_sec, n_intervals, bpm): three or more intervals in a row within 12 % of the first of them.
+
+    The first interval lies between the periods of both tempos. One media's events are one group.
+    """
+
+    def mark(rows: pd.DataFrame) -> pd.DataFrame:
+        sec = np.sort(rows["sec"].to_numpy())
+        gaps, run, period = np.round(np.diff(sec), 6), [], None
+        for i, gap in enumerate(gaps.tolist()):
+            if period is None or round(abs(gap / period - 1), 6) > TEMPO_SPREAD:
+                period, start = (gap, i) if 60 / max_bpm <= gap <= 60 / min_bpm else (None, None)
+            run.append(start)
+        return pd.DataFrame({"media_id": rows["media_id"].iloc[0], "run": pd.array(run, dtype="Int64"), "sec": sec[:-1], "until": sec[1:], "gap": gaps})
+
+    marked = events.select("media_id", "sec").groupBy("media_id").applyInPandas(mark, "media_id long, run long, sec double, until double, gap double").where("run is not null")
+    runs = marked.groupBy("media_id", "run").agg(F.min("sec").alias("start_sec"), F.max("until").alias("end_sec"), F.count("*").alias("n_intervals"), (60 / F.percentile("gap", F.lit(0.5))).alias("bpm"))
+    return runs.where("n_intervals >= 3")

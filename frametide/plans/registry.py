@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.functions.geometry import clip
-from frametide.operators import audio, control, frames
+from frametide.operators import audio, control, frames, tracks
 from frametide.sources import tables as t
+from frametide.streaming import telemetry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -342,3 +343,95 @@ def exposure_per_shot(spark, d):
     u = t.patches(spark, d).select("media_id", F.floor(F.col("frame_index") / 10).alias("shot"), F.explode("patch").alias("v")).withColumn("v", F.col("v") / 255)
     p = u.groupBy("media_id", "shot").agg(F.avg("v").alias("mean_luma"), F.percentile("v", F.lit(0.05)).alias("p05_luma"), F.percentile("v", F.lit(0.95)).alias("p95_luma"))
     return r6(p.withColumn("contrast", F.col("p95_luma") - F.col("p05_luma")), "mean_luma", "p05_luma", "p95_luma", "contrast")
+
+
+_PEAKS = f"{t.SIG}, nb AS (SELECT *, lag(x) OVER w AS b, lead(x) OVER w AS a FROM sig WINDOW w AS (PARTITION BY media_id ORDER BY sample_index)), pk AS (SELECT media_id, sample_index, x, row_number() OVER (PARTITION BY media_id ORDER BY sample_index) AS i FROM nb WHERE x >= 0.02 AND x > b AND x >= a)"
+
+
+def _peaks(spark, d, seconds):
+    p = audio.local_maxima(t.signal(spark, d).select("media_id", "sample_index", "x"), "x", 0.02)
+    return p.select("media_id", F.round(F.col("sample_index") * F.lit(seconds), 6).alias("sec"), F.col("x").alias("strength"))
+
+
+@query(f"WITH RECURSIVE {_PEAKS}, c AS (SELECT media_id, i, round(sample_index * 0.032::DOUBLE, 6) AS sec, x FROM pk), e AS (SELECT media_id, i, sec AS anchor, sec, x, 1 AS k FROM c WHERE i = 1 UNION ALL SELECT c.media_id, c.i, CASE WHEN round(c.sec - e.anchor, 6) >= 0.1 THEN c.sec ELSE e.anchor END, CASE WHEN round(c.sec - e.anchor, 6) >= 0.1 OR c.x > e.x THEN c.sec ELSE e.sec END, CASE WHEN round(c.sec - e.anchor, 6) >= 0.1 OR c.x > e.x THEN c.x ELSE e.x END, e.k + (round(c.sec - e.anchor, 6) >= 0.1)::INT FROM e JOIN c ON c.media_id = e.media_id AND c.i = e.i + 1) SELECT media_id, arg_max(sec, i) AS sec, round(arg_max(x, i), 6) AS strength FROM e GROUP BY media_id, k")
+def onset_refractory(spark, d):
+    return r6(audio.merge_onsets(_peaks(spark, d, 0.032), 0.1), "sec", "strength")
+
+
+@query(f"WITH RECURSIVE {_PEAKS}, c AS (SELECT media_id, i, round(sample_index * 0.2::DOUBLE, 6) AS sec, lead(round(sample_index * 0.2::DOUBLE, 6)) OVER (PARTITION BY media_id ORDER BY i) AS until FROM pk), g AS (SELECT *, round(until - sec, 6) AS gap FROM c WHERE until IS NOT NULL), e AS (SELECT media_id, i, sec, until, gap, CASE WHEN gap BETWEEN 0.25 AND 1.5 THEN gap END AS period, CASE WHEN gap BETWEEN 0.25 AND 1.5 THEN i - 1 END AS run FROM g WHERE i = 1 UNION ALL SELECT g.media_id, g.i, g.sec, g.until, g.gap, CASE WHEN round(abs(g.gap / e.period - 1), 6) <= 0.12 THEN e.period WHEN g.gap BETWEEN 0.25 AND 1.5 THEN g.gap END, CASE WHEN round(abs(g.gap / e.period - 1), 6) <= 0.12 THEN e.run WHEN g.gap BETWEEN 0.25 AND 1.5 THEN g.i - 1 END FROM e JOIN g ON g.media_id = e.media_id AND g.i = e.i + 1) SELECT media_id, run, min(sec) AS start_sec, max(until) AS end_sec, count(*) AS n_intervals, round(60 / median(gap), 6) AS bpm FROM e WHERE run IS NOT NULL GROUP BY media_id, run HAVING count(*) >= 3")
+def tempo_runs(spark, d):
+    return r6(audio.tempo_runs(_peaks(spark, d, 0.2), 40, 240), "start_sec", "end_sec", "bpm")
+
+
+_TRACKED = f"{t.BOXES}, tracked AS (SELECT media_id, frame // 3 AS frame, frame % 3 AS track, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h, max(score) AS score FROM boxes GROUP BY ALL)"
+
+
+def _tracked(spark, d):
+    """One box per media, frame and track: frames 0 to 2 of three tracks, from the detections of each order."""
+    b = t.boxes(spark, d).groupBy("media_id", F.floor(F.col("frame") / 3).alias("_f"), (F.col("frame") % 3).alias("track"))
+    return b.agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"), F.max("score").alias("score")).withColumnRenamed("_f", "frame")
+
+
+_BOTH = "greatest(least(f.x + f.w, s.x + s.w) - greatest(f.x, s.x), 0) * greatest(least(f.y + f.h, s.y + s.h) - greatest(f.y, s.y), 0)"
+
+
+@query(f"WITH {_TRACKED}, f AS (SELECT media_id, frame, track, x + 0.05 AS x, y + 0.05 AS y, w / 2 AS w, h / 2 AS h FROM tracked WHERE score < 0.6), q AS (SELECT f.media_id, f.track AS face, s.track AS subject, {_BOTH} AS i, f.w * f.h AS fa, s.w * s.h AS sa FROM f JOIN tracked s ON s.media_id = f.media_id AND s.frame = f.frame), v AS (SELECT media_id, face, subject, CASE WHEN round(i / fa, 6) >= 0.85 THEN i / fa WHEN round(i / (fa + sa - i), 6) >= 0.25 THEN i / (fa + sa - i) END AS score FROM q), g AS (SELECT media_id, face, subject, count(*) AS n_frames, sum(score) AS score FROM v WHERE score IS NOT NULL GROUP BY ALL), z AS (SELECT media_id, track AS face, count(*) AS seen FROM f GROUP BY ALL), r AS (SELECT g.*, row_number() OVER (PARTITION BY media_id, face ORDER BY round(score, 6) DESC, subject) AS k FROM g JOIN z USING (media_id, face) WHERE 2 * n_frames >= seen) SELECT media_id, face, subject, n_frames, round(score, 6) AS score FROM r WHERE k = 1")
+def face_subject_association(spark, d):
+    rows = _tracked(spark, d)
+    faces = rows.where("score < 0.6").select("media_id", "frame", "track", (F.col("x") + 0.05).alias("x"), (F.col("y") + 0.05).alias("y"), (F.col("w") / 2).alias("w"), (F.col("h") / 2).alias("h"))
+    return r6(tracks.faces_to_subjects(faces, rows), "score")
+
+
+@query(f"WITH {_TRACKED}, n AS (SELECT media_id, 3 AS n_frames FROM tracked GROUP BY 1), p AS (SELECT media_id, track AS region, max(frame) + 1 - min(frame) AS span, var_pop(x + w / 2) + var_pop(y + h / 2) AS moved FROM tracked GROUP BY ALL) SELECT media_id, region, span, CASE WHEN span / n_frames >= 0.4 AND moved <= 0.004 THEN 'persistent_overlay' ELSE 'ocr_text' END AS kind FROM p JOIN n USING (media_id)")
+def region_kind(spark, d):
+    rows = _tracked(spark, d).withColumnRenamed("track", "region")
+    return tracks.region_kind(rows, rows.select("media_id").distinct().withColumn("n_frames", F.lit(3)))
+
+
+@query(f"WITH {t.BOXES}, tr AS (SELECT media_id, frame * 3 AS frame, min(x) AS x FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx FROM tr WINDOW w AS (PARTITION BY media_id ORDER BY frame)), g AS (SELECT *, unnest(range(frame + 1, nf)) AS f FROM n WHERE nf - frame <= 3) SELECT media_id, frame, round(x, 6) AS x, 'detected' AS kind FROM tr UNION ALL SELECT media_id, f, round(x + (nx - x) * (f - frame) / (nf - frame), 6), 'interpolated' FROM g")
+def face_densify(spark, d):
+    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 3).alias("frame")).agg(F.min("x").alias("x"))
+    return r6(tracks.densify(track, 3), "x")
+
+
+@query(f"WITH {t.SHOTS}, f AS ({_PERIODIC}), p AS (SELECT DISTINCT media_id, (frame // 7) % 5 AS track, frame FROM f WHERE frame % 3 = 0) SELECT s.media_id, s.shot_index, count(DISTINCT track) AS persons, CASE WHEN count(DISTINCT track) = 0 THEN 'no_person' WHEN count(DISTINCT track) >= 2 THEN 'multiple_people' WHEN (s.end_frame - s.start_frame) / 25 >= 2 THEN 'talking_head' ELSE 'other' END AS label FROM shots s LEFT JOIN p ON p.media_id = s.media_id AND p.frame >= s.start_frame AND p.frame < s.end_frame GROUP BY s.media_id, s.shot_index, s.start_frame, s.end_frame")
+def shot_person_labels(spark, d):
+    shots = t.shots(spark, d)
+    people = frames.sample_periodic(shots, 7).where("frame % 3 = 0").select("media_id", (F.floor(F.col("frame") / 7) % 5).alias("track"), "frame")
+    return tracks.shot_labels(shots, people, 25.0)
+
+
+@query(f"WITH {_HASH} SELECT a.media_id, a.frame_index AS frame_a, b.frame_index AS frame_b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance FROM hs a JOIN hs b ON a.media_id = b.media_id AND a.frame_index < b.frame_index WHERE list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2]))) <= 18")
+def hamming_pairs(spark, d):
+    """The test patches are noise, so the distance is wider than the one of near duplicates."""
+    h = t.patches(spark, d).select("media_id", "frame_index", frames.average_hash(F.col("patch")).alias("bits"))
+    return tracks.near_hashes(h, 18, 19)
+
+
+def _crowded(spark, d):
+    """Detections of eight orders as one shot, a frame for every fifth of their lines."""
+    w = t.Window.partitionBy("media_id", "frame").orderBy("_order", "det")
+    b = t.boxes(spark, d).withColumn("_order", F.col("media_id")).withColumn("media_id", F.floor(F.col("_order") / 8)).withColumn("frame", F.col("frame") * 5)
+    return b.withColumn("det", (F.row_number().over(w) - 1).cast("int")).withColumn("shot_index", F.floor(F.col("frame") / 20)).drop("_order")
+
+
+@query()
+def bytetrack_samples(spark, d):
+    return tracks.track_boxes(_crowded(spark, d))
+
+
+@query()
+def ocr_region_merge(spark, d):
+    return tracks.merge_text(_crowded(spark, d))
+
+
+@query("WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type AS stage, floor(value)::BIGINT AS v FROM events) SELECT window_start, stage, count(*) AS n, sum(v)::BIGINT AS total_ms, max(v) AS longest_ms FROM e WHERE window_start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY ALL")
+def stream_stage_windows(spark, d):
+    e = telemetry.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("stage"), F.floor("value").alias("duration_ms"))
+    return telemetry.drain(telemetry.stage_windows(e, "1 hour", "1 day")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("SELECT DISTINCT user_id AS idempotency_key FROM events")
+def stream_first_requests(spark, d):
+    e = telemetry.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("idempotency_key"))
+    return telemetry.drain(telemetry.first_requests(e, "3650 days").select("idempotency_key"))
