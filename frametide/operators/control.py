@@ -43,3 +43,20 @@ def overall_status(rows: DataFrame, key: str) -> DataFrame:
     """ok if all parts are, failed if none is, else partial."""
     good, n = F.sum(F.col("ok").cast("long")), F.count("*")
     return rows.groupBy(key).agg(F.when(good == n, "ok").when(good == 0, "failed").otherwise("partial").alias("status"), n.alias("n_parts"))
+
+
+def rounded_rank(rows: DataFrame, key: str, value: str, order: list[str], q: float) -> DataFrame:
+    """The value at the zero-based rank (n - 1) * q of each key, rounded half to even."""
+    w = Window.partitionBy(key)
+    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value, *order)) - 1)
+    return ranked.where(F.col("_r") == F.bround((F.col("_n") - 1) * q)).select(key, F.col(value))
+
+
+def loudness_report(reports: DataFrame, text: str) -> DataFrame:
+    """integrated_lufs and true_peak_db from the text of an EBU R128 meter: the last figure counts, minus infinity is null."""
+
+    def last(pattern: str) -> Column:
+        found = F.regexp_extract_all(F.col(text), F.lit(pattern), 1)
+        return F.when(F.get(found, F.size(found) - 1).rlike(r"\d"), F.get(found, F.size(found) - 1).cast("double"))
+
+    return reports.withColumn("integrated_lufs", last(r"I:\s*(-?(?:\d+(?:\.\d+)?|inf))\s*LUFS")).withColumn("true_peak_db", last(r"Peak:\s*(-?(?:\d+(?:\.\d+)?|inf))\s*dBFS"))

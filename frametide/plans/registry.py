@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.functions.geometry import clip
-from frametide.operators import audio, control, frames, tracks
+from frametide.operators import audio, colour, control, frames, tracks
 from frametide.sources import tables as t
 from frametide.streaming import telemetry
 
@@ -435,3 +435,40 @@ def stream_stage_windows(spark, d):
 def stream_first_requests(spark, d):
     e = telemetry.read(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("idempotency_key"))
     return telemetry.drain(telemetry.first_requests(e, "3650 days").select("idempotency_key"))
+
+
+_LINEAR = "CASE WHEN {0} / 255 <= 0.04045 THEN {0} / 255 / 12.92::DOUBLE ELSE pow(({0} / 255 + 0.055::DOUBLE) / 1.055::DOUBLE, 2.4::DOUBLE) END"
+_XYZ = [" + ".join(f"l{c} * {w}::DOUBLE" for c, w in zip("rgb", row, strict=True)) for row in colour.TO_XYZ]
+
+
+@query(f"WITH {t.PATCH}, px AS (SELECT media_id, frame_index, unnest([{{'r': patch[k * 3 + 1], 'g': patch[k * 3 + 2], 'b': patch[k * 3 + 3]}} for k in range(21)], recursive := true) FROM patches), m AS (SELECT media_id, frame_index, {', '.join(f'avg({_LINEAR.format(c)}) AS l{c}' for c in 'rgb')}, avg(CASE WHEN greatest(r, g, b) > 0 THEN (greatest(r, g, b) - least(r, g, b)) / greatest(r, g, b) ELSE 0 END) AS s FROM px GROUP BY ALL), c AS (SELECT *, ({_XYZ[0]}) AS x, ({_XYZ[1]}) AS y, ({_XYZ[2]}) AS z FROM m), d AS (SELECT *, (x / (x + y + z) - 0.3320::DOUBLE) / (0.1858::DOUBLE - y / (x + y + z) + 1e-9) AS n FROM c), k AS (SELECT *, round_even(449 * n * n * n + 3525 * n * n + 6813.5::DOUBLE * n + 5527, 0)::BIGINT AS kelvin FROM d) SELECT media_id, frame_index, CASE WHEN round(s, 6) >= 0.08 AND round(y, 6) BETWEEN 0.05 AND 0.95 AND round(greatest(lr, lg, lb) - least(lr, lg, lb), 6) >= 0.02 AND kelvin BETWEEN 1000 AND 25000 THEN kelvin END AS kelvin FROM k")
+def cct_estimate(spark, d):
+    pixels = t.patches(spark, d).select("media_id", "frame_index", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.struct(*[F.get(F.col("patch"), k * 3 + i).alias(c) for i, c in enumerate("rgb")]))).alias("p")).select("media_id", "frame_index", "p.*")
+    return colour.temperature(pixels, ["media_id", "frame_index"])
+
+
+@query(f"WITH {t.PATCH}, u AS (SELECT media_id, frame_index, unnest(patch) / 255 AS v, unnest(range(64)) AS pos FROM patches) SELECT round(max(abs(a.v - b.v)), 6) AS max_abs, count(*) AS n FROM u a JOIN u b ON a.media_id = b.media_id AND a.pos = b.pos AND b.frame_index = a.frame_index + 1 WHERE a.frame_index % 2 = 0")
+def map_parity(spark, d):
+    u = t.patches(spark, d).select("media_id", "frame_index", F.posexplode("patch").alias("pos", "v")).select("media_id", "pos", F.floor(F.col("frame_index") / 2).alias("pair"), (F.col("frame_index") % 2).alias("side"), (F.col("v") / 255).alias("v"))
+    return r6(colour.largest_difference(u.where("side = 0"), u.where("side = 1"), ["media_id", "pos", "pair"], "v"), "max_abs")
+
+
+@query("WITH e AS (SELECT event_type AS stage, floor(value)::BIGINT AS duration_ms, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) - 1 AS r FROM events) SELECT stage, duration_ms FROM e WHERE r = round_even((n - 1) * 0.95::DOUBLE, 0)")
+def benchmark_percentile(spark, d):
+    e = t.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("duration_ms"), "event_id")
+    return control.rounded_rank(e, "stage", "duration_ms", ["event_id"], 0.95)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round(-value / 10, 1) END AS integrated_lufs, round(-value / 100, 1) AS true_peak_db FROM events")
+def loudness_report_parse(spark, d):
+    """Meter reports made from the events: a first figure that must not count, then the figure or minus infinity."""
+    figure = F.when(F.col("event_id") % 5 == 0, "-inf").otherwise(F.round(-F.col("value") / 10, 1).cast("string"))
+    text = F.concat(F.lit("I: -70.0 LUFS\n  Integrated loudness:\n    I:  "), figure, F.lit(" LUFS\n  True peak:\n    Peak:  "), F.round(-F.col("value") / 100, 1).cast("string"), F.lit(" dBFS\n"))
+    return r6(control.loudness_report(t.table(spark, d, "events").select("event_id", text.alias("report")), "report").select("event_id", "integrated_lufs", "true_peak_db"), "integrated_lufs", "true_peak_db")
+
+
+@query(f"WITH {t.BOXES} SELECT media_id, count(DISTINCT frame) + coalesce((SELECT sum(greatest(0, (nf - f * 10 - 1) // 4)) FROM (SELECT media_id AS m, frame AS f, lead(frame * 10) OVER (PARTITION BY media_id ORDER BY frame) AS nf FROM (SELECT DISTINCT media_id, frame FROM boxes)) q WHERE q.m = boxes.media_id), 0)::BIGINT AS n_samples, round(avg(x), 6) AS score FROM (SELECT media_id, frame, min(x) AS x FROM boxes GROUP BY ALL) boxes GROUP BY media_id")
+def track_aggregate_score(spark, d):
+    """Filled samples count, but only detected ones score."""
+    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 10).alias("frame")).agg(F.min("x").alias("x"))
+    return r6(frames.gap_fill(track, 4).groupBy("media_id").agg(F.count("*").alias("n_samples"), F.avg(F.when(F.col("kind") == "detector", F.col("x"))).alias("score")), "score")
