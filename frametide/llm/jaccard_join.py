@@ -31,8 +31,8 @@ from frametide.llm.common import Words, bounded_broadcast, connected_components,
 SHINGLE, GROUPS, BANDS, ROWS, PIECE, LEAF = 4, 128, 32, 3, 2048, 32
 #: Similarity is at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 85, 100
-#: Sets up to this size get a hash function for each min-hash; larger ones one function cut into as many ranges.
-SMALL = 384
+#: Shingles hashed at once by all functions, to stay in the cache.
+CHUNK = 512
 #: Ids that may be broadcast (8 MB); beyond, the same join is a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -60,17 +60,10 @@ def shingle_sets(words: Words, k: int = SHINGLE) -> list[np.ndarray]:
 
 
 def min_hashes(s: np.ndarray) -> np.ndarray:
-    n = BANDS * ROWS
-    if len(s) <= SMALL:
-        return mix64(s[:, None] ^ _SALTS).min(axis=0)
-    bins = ((s >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)  # sorted sets fall into consecutive ranges
-    low = mix64(s ^ _SALTS[0])
-    out = np.full(n, np.uint64(2**64 - 1))
-    np.minimum.at(out, bins.astype(np.int64), low)
-    empty = np.setdiff1d(np.arange(n), bins)
-    if len(empty):
-        full = np.flatnonzero(np.bincount(bins.astype(np.int64), minlength=n))
-        out[empty] = out[full[np.searchsorted(full, empty) % len(full)]] ^ _SALTS[empty]
+    """The least hash of the set under each function; one scheme for all sizes, as sets of any two sizes may be linked."""
+    out = np.full(BANDS * ROWS, np.uint64(2**64 - 1))
+    for lo in range(0, len(s), CHUNK):
+        np.minimum(out, mix64(s[lo : lo + CHUNK, None] ^ _SALTS).min(axis=0), out=out)
     return out
 
 

@@ -73,6 +73,14 @@ def test_jaccard(docs, nothing):
     assert jaccard_join.components(nothing).count() == 0
 
 
+def test_jaccard_copies_of_all_sizes(spark):
+    rows = []
+    for group, sizes in enumerate([(380, 384), (384, 385), (386, 390), (360, 400), (383, 386, 389), (20, 21), (900, 1000), (384, 460)]):
+        rows += [(100 * group + k, " ".join(f"g{group}w{i}" for i in range(n + 3))) for k, n in enumerate(sizes)]
+    got = jaccard_join.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
+
+
 def test_count_tree_finds_all():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 400, 300).astype(np.uint64) * np.uint64(7919)) for _ in range(120)]
