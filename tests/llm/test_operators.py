@@ -116,6 +116,34 @@ def test_substring_repeats_and_cut(docs, nothing):
     assert substring_dedup.cut(docs, spans).columns == docs.columns and substring_dedup.repeats(nothing).count() == 0
 
 
+def context_rows():
+    """Passages of two or three lines that each stand alone in an earlier document, shared by two later documents (and twice by one)."""
+    rows = []
+    for g in range(12):
+        text = lambda name, n, g=g: " ".join(f"{name}{g}x{i}" for i in range(n))
+        lines = [text("first", 25), text("second", 25), text("third", 25)][: 2 + g % 2]
+        rows += [(100 * g + k, text(f"own{k}", 60) + " " + line + " " + text(f"end{k}", 60)) for k, line in enumerate(lines)]
+        whole = " ".join(lines)
+        rows += [(100 * g + 50, text("before", 55) + " é " + whole + " " + text("after", 70)), (100 * g + 60, text("other", 52) + " " + whole + " " + text("tail", 61) + " " + whole)]
+    return rows
+
+
+def check_contexts(spark, rows, parts):
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    texts, spans = dict(rows), substring_dedup.repeats(table).collect()
+    assert {r["doc_id"] for r in spans} == {i for i in texts if i % 100 == 60}
+    for i in (i for i in texts if i % 100 == 60):
+        covered = {c for r in spans if r["doc_id"] == i for c in range(r["start"], r["end"])}
+        passage = re.search(f"first{i // 100}x0 .*(second{i // 100}x24|third{i // 100}x24)(?= tail)", texts[i])[0]
+        assert texts[i].count(passage) == 2 and all(covered >= set(range(m.start(), m.end())) for m in re.finditer(passage, texts[i]))
+    for r in spans:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == texts[r["source_id"]][r["source_start"] : r["source_end"]] and r["n_words"] == len(texts[r["doc_id"]][r["start"] : r["end"]].split()) >= 50
+
+
+def test_substring_passages_of_frequent_lines(spark):
+    check_contexts(spark, context_rows(), 7)
+
+
 def distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
