@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 STRONG_LANES, STRONG_MOD = 16, 1 << 32
-#: A clause ends behind one of these marks (a paragraph's end among them).
-CLAUSE_END = r"(?<=[.,;:!?\n]\s?)(?=\S)"
+#: A clause ends behind one of these marks, or with its paragraph, whose newline is part of no clause: clauses are those of each paragraph on its own.
+CLAUSE_END = r"\n|(?<=[.,;:!?][^\S\n]?)(?=\S)"
 WORDS, WORD_MOD, LANE_BITS, LANES_A_WORD = 16, 1 << 60, 20, 3
 _MASK = sum(1 << (LANE_BITS * i) for i in range(LANES_A_WORD))
 #: Most buckets of documents in id order (32 x 32 split points); fixed, so what the driver holds of them is bounded.

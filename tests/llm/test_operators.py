@@ -217,6 +217,24 @@ def test_fingerprints(spark, docs, nothing):
     assert fingerprints.edit_report(docs).count() == 13 and fingerprints.edit_report(nothing).count() == 0
 
 
+def test_fingerprints_are_sums_over_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    whole = ["one", "two, three; x", "  lead. in:", "", "a.", "b!", "\tz ,\r", "four.five", "a."]
+    texts = {"whole": whole, "back": whole[::-1], "turned": whole[3:] + whole[:3], "less": whole[:-2], "last": whole[-2:], "more": [*whole, "new, one"], "new": ["new, one"]}
+    rows = spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()] + [(f"p{i}", p) for i, p in enumerate(whole)], "doc_id string, text string")
+    by = {r["doc_id"]: r for r in fingerprints.fingerprint(rows).collect()}
+    assert by["whole"]["fingerprint"] == by["back"]["fingerprint"] == by["turned"]["fingerprint"] != by["less"]["fingerprint"]
+
+    def combined(a, b, sign):
+        return spark.createDataFrame([(by[a]["vector"], by[b]["vector"])], "a array<long>, b array<long>").select(fingerprints.combine(F.col("a"), F.col("b"), sign).alias("v")).head()["v"]
+
+    for a, b, sign, want in (("less", "last", 1, "whole"), ("whole", "last", -1, "less"), ("whole", "new", 1, "more"), ("more", "new", -1, "back")):
+        assert combined(a, b, sign) == by[want]["vector"]
+    mods = [fingerprints.STRONG_MOD] * fingerprints.STRONG_LANES + [fingerprints.WORD_MOD] * (fingerprints.WORDS + 1)
+    assert [sum(x) % m for x, m in zip(zip(*(by[f"p{i}"]["vector"] for i in range(len(whole)))), mods)] == by["whole"]["vector"]
+
+
 def test_toxicity_and_quality_fit(spark, docs, nothing):
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("abcdefg"), 5)) for _ in range(200)]
