@@ -144,6 +144,31 @@ def test_substring_passages_of_frequent_lines(spark):
     check_contexts(spark, context_rows(), 7)
 
 
+@pytest.mark.parametrize("hot", [0, 100_000])
+def test_substring_passages_do_not_depend_on_layout(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT_TOKENS", hot)
+    first, later, texts = [], [], {}
+    for g in range(8):
+        text = lambda name, n, g=g: " ".join(f"{name}{g}x{i}" for i in range(n))
+        lines = [text("first", 25), text("second", 25)]
+        for k, body in ((0, " ".join(lines)), (1, lines[0]), (2, lines[1]), (3, lines[0]), (4, lines[1]), (60, " ".join(lines))):
+            texts[100 * g + k] = text(f"own{k}", 60) + " " + body + " " + text(f"end{k}", 60)
+            (later if k else first).append((100 * g + k, texts[100 * g + k]))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        # The copies' task holds earlier texts with the lines alone, the whole passage is in another task; then all in one task.
+        one = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        found = [substring_dedup.repeats(t).collect() for t in (one(first).union(one(sorted(later, key=lambda r: (r[0] % 100, r[0])))), one(first + later), one(later[::-1] + first))]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for spans in found:
+        for g in range(8):
+            mine = [r for r in spans if r["doc_id"] == 100 * g + 60 and r["source_id"] == 100 * g]
+            covered = {c for r in mine for c in range(r["start"], r["end"])}
+            at = re.search(f"first{g}x0 .* second{g}x24(?= )", texts[100 * g + 60])
+            assert covered >= set(range(at.start(), at.end()))
+
+
 def distance(a, b):
     row = [0] * (len(b) + 1)
     for i, x in enumerate(a, 1):
