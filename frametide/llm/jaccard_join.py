@@ -32,7 +32,7 @@ SHINGLE, GROUPS, BANDS, ROWS, PIECE, LEAF = 4, 128, 32, 3, 2048, 32
 #: Similarity is at least NUMERATOR / DENOMINATOR.
 NUMERATOR, DENOMINATOR = 85, 100
 #: Shingles hashed at once by all functions, to stay in the cache.
-CHUNK = 512
+CHUNK = 128
 #: Ids that may be broadcast (8 MB); beyond, the same join is a shuffle.
 BROADCAST_ROWS = 500_000
 
