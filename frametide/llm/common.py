@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,29 +25,86 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; set here only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session, where it may be unset as in tests, gets a folder of its own."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="frametide-")
         spark.sparkContext.setCheckpointDir(where)
         where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back; cuts lineage and survives lost executors.
+class _Cleanup:
+    """Turns ``SHUFFLE_CLEANUP`` on while at least one table is being written, whichever thread writes it; a setting of the user's stays."""
 
-    Nothing reads the shuffle files of the write again, so they go when it is done.
+    def __init__(self):
+        self.lock, self.writers = threading.Lock(), 0
+
+    @contextlib.contextmanager
+    def on(self, spark: SparkSession) -> Iterator[None]:
+        with self.lock:
+            own = self.writers > 0 or spark.conf.get(SHUFFLE_CLEANUP, None) is None
+            if own:
+                self.writers += 1
+                spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            yield
+        finally:
+            if own:
+                with self.lock:
+                    self.writers -= 1
+                    if not self.writers:
+                        spark.conf.unset(SHUFFLE_CLEANUP)
+
+
+_cleanup = _Cleanup()
+_results: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_results() -> None:
+    for spark, path in _results:
+        if getattr(spark.sparkContext, "_jsc", None) is not None:
+            with contextlib.suppress(Exception):  # the JVM may be gone before Python ends
+                remove_path(spark, path)
+
+
+class Tables:
+    """Tables of one run in the shared folder: they cut lineage and survive lost executors, and go when the run ends.
+
+    Nothing reads the shuffle files of a write again, so those go when it is done. ``result`` is for what a returned
+    DataFrame still reads; such tables go when Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/frametide/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.select("*").write.parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before) if before is not None else spark.conf.unset(SHUFFLE_CLEANUP)
-    return spark.read.schema(df.schema).parquet(path), path
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.paths = spark, {}
+        self.top = f"{shared_dir(spark)}/frametide/{label}-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*self.paths)
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        with _cleanup.on(self.spark):
+            df.select("*").write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back; a table of the same name must have been dropped."""
+        path = self.paths[name] = f"{self.top}-{name}"
+        return self._write(df, path)
+
+    def drop(self, *names: str) -> None:
+        remove_path(self.spark, *[self.paths.pop(x) for x in names])
+
+    def result(self, df: DataFrame) -> DataFrame:
+        path = f"{self.top}-result"
+        _results.append((self.spark, path))
+        return self._write(df, path)
 
 
 def remove_path(spark: SparkSession, *paths: str) -> None:
@@ -158,28 +219,25 @@ def word_blocks(column: pa.Array, most: int = BLOCK_BYTES):
 # ---------------------------------------------------------------- connected components
 
 
-def connected_components(edges: DataFrame, label: str = "components", rounds: int = 60) -> DataFrame:
-    """(node, component) of the graph of ``edges`` (u, v longs); component is the smallest node reached.
+def connected_components(edges: DataFrame, tables: Tables, label: str = "components", rounds: int = 60) -> DataFrame:
+    """(node, component) of the graph of ``edges`` (u, v longs), a table of ``tables``; component is the smallest node reached.
 
     Alternates the large-star and small-star steps, each a min per node joined back, until the
-    edges stand still. Every step is a written table; nodes without edges are not returned.
+    edges stand still; raises after ``rounds`` rounds. Every step is a written table; nodes without edges are not returned.
     """
-    spark = edges.sparkSession
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    now, path = materialize(now, label)
-    seen = None
-    for _ in range(rounds):
+    now, name, seen = tables.keep(now, f"{label}-0"), f"{label}-0", None
+    for step in range(1, rounds + 1):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large, mid = materialize(large, label)
+        large = tables.keep(large, f"{label}-large")
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small, nxt = materialize(small, label)
-        state = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
-        remove_path(spark, path)
-        remove_path(spark, mid)
-        now, path = small, nxt
+        now = tables.keep(small, f"{label}-{step}")
+        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+        tables.drop(name, f"{label}-large")
+        name = f"{label}-{step}"
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
         seen = state

@@ -6,19 +6,21 @@ such occurrence is untouched. One Aho-Corasick automaton finds all exact piece h
 Myers' bit-parallel algorithm then decides each hit's surroundings.
 
 Null and empty texts match nothing, and null or blank items are never searched for. Items with equal text are
-all reported. Repeated rows are reported for each row. The items are gathered in blocks of at most ``block_chars`` characters;
-each block is one pass over the documents.
+all reported. Repeated rows are reported for each row. The items are gathered in blocks of about ``block_chars`` characters (dealt by hash);
+each block is one pass over the documents, and its finds are written before the next block is gathered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from frametide.llm.common import Tables
 from frametide.llm.sentencepiece_codec import slices
 
 RATE = 0.05
@@ -112,13 +114,18 @@ def find(documents: DataFrame, items: DataFrame, *, rate: float = RATE, id_col:
     bench = items.select(F.col(item_id_col).alias("i"), F.coalesce(F.col(item_text_col), F.lit("")).alias("t"))
     total = bench.agg(F.sum(F.char_length("t"))).head()[0] or 0
     blocks = -(-total // block_chars) or 1
-    kind = dict(documents.dtypes)[id_col]
-    out = None
-    for b in range(blocks):
+    kinds = f"doc_id {dict(documents.dtypes)[id_col]}, item_id {dict(items.dtypes)[item_id_col]}, distance int, start int, end int"
+
+    def scan(b: int) -> DataFrame:
         part = [(r["i"], r["t"]) for r in (bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b)).collect()]
-        one = documents.select(id_col, text_col).mapInArrow(_scan(part, rate), f"doc_id {kind}, item_id {dict(items.dtypes)[item_id_col]}, distance int, start int, end int")
-        out = one if out is None else out.union(one)
-    return out
+        return documents.select(id_col, text_col).mapInArrow(_scan(part, rate), kinds)
+
+    if blocks == 1:
+        return scan(0)
+    with Tables(documents.sparkSession, "decontaminate") as tables:
+        # Each block's finds are written before the next is gathered, so the driver holds one block at a time.
+        found = [tables.keep(scan(b), str(b)) for b in range(blocks)]
+        return tables.result(reduce(DataFrame.union, found))
 
 
 def _scan(items: list[tuple[int, str]], rate: float):

@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic multiset hash over paragraphs, in DataFrame operations only.
 
 A text is the multiset of its paragraphs (lines). Each paragraph hashes to a wide vector: sixteen
-32-bit lanes of its SHA-512, sixteen 60-bit words that each pack three 20-bit bit counts over the hashes of its
+32-bit lanes of its SHA-512, thirty 60-bit words that each pack two 30-bit bit counts over the hashes of its
 clauses, and the number of those clauses. A text's fingerprint is the sum of its
 paragraphs' vectors, lane by lane, modulo 2^32 and 2^60. So the order of paragraphs does not matter,
 equal multisets have equal fingerprints, and a paragraph is inserted or deleted by adding or
@@ -9,23 +9,22 @@ subtracting its own vector (``combine``). The counts also give a likeness: the c
 centred counts estimates the overlap of the two multisets of clauses.
 
 Null text counts as empty: one empty paragraph. The likeness of two texts with the same fingerprint is 1, of others without
-clauses in common about 0. Counts are exact up to 2^20 clauses of a text; beyond, lanes wrap and only the likeness suffers.
+clauses in common about 0. No lane wraps: a clause but the last of a paragraph has two characters at least, and a text less than 2^31.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from frametide.llm.common import Tables
+
 STRONG_LANES, STRONG_MOD = 16, 1 << 32
 #: A clause ends behind one of these marks, or with its paragraph, whose newline is part of no clause: clauses are those of each paragraph on its own.
 CLAUSE_END = r"\n|(?<=[.,;:!?][^\S\n]?)(?=\S)"
-WORDS, WORD_MOD, LANE_BITS, LANES_A_WORD = 16, 1 << 60, 20, 3
+WORDS, WORD_MOD, LANE_BITS, LANES_A_WORD = 30, 1 << 60, 30, 2
 _MASK = sum(1 << (LANE_BITS * i) for i in range(LANES_A_WORD))
-#: Most buckets of documents in id order (32 x 32 split points); fixed, so what the driver holds of them is bounded.
-BUCKETS = 1024
 
 
 def _lanes(digest: Column) -> Column:
@@ -89,31 +88,21 @@ def fingerprint(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumn("fingerprint", render(F.col("vector")))
 
 
-def with_successor(df: DataFrame, columns: list[str], *, id_col: str = "doc_id") -> DataFrame:
-    """Each row with ``next_<c>``: the columns of the row that follows in descending id order (after the last: the first).
+def order(rows: DataFrame, tables: Tables) -> DataFrame:
+    """For each distinct (key, text_key) the one before it in the order of descending key, then text_key; the first one's is the last.
 
-    No window holds all rows: rows go into buckets of consecutive ids (split at approximate
-    quantiles), and the first rows of each bucket also go, as guests, to the bucket before it.
-    Null ids come last; rows of one id follow each other in the order of a hash of their columns.
+    ``rows`` are narrow: (key, text_key, id, n_chars). They are dealt in ranges of that order, so no task holds more than a range,
+    however often a key comes; the driver holds the last row of each range. Returned: (key, text_key, before), before a struct with copies.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
-    rows = df.select(id_col, *columns).withColumn("_key", key)
-    cuts = sorted({int(x) for x in rows.select(F.col("_key").cast("double").alias("k")).approxQuantile("k", [i / BUCKETS for i in range(1, BUCKETS)], 0.25 / BUCKETS)})
-    step = 32
-    coarse, fine = cuts[step - 1 :: step], [cuts[i : i + step - 1] for i in range(0, len(cuts) + 1, step)]
-    below = lambda cut: cut <= F.col("_key")
-    longs = T.ArrayType(T.LongType())
-    big = F.size(F.filter(F.lit(coarse).cast(longs), below)) if coarse else F.lit(0)
-    nested = F.array(*[F.lit(x).cast(longs) if x else F.array().cast(longs) for x in fine])
-    rows = rows.withColumn("_bucket", big * step + F.size(F.filter(F.element_at(nested, big + 1), below)))
-    heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max("_key").alias("head")).collect())
-    guests = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
-    spark = df.sparkSession
-    guest = F.broadcast(spark.createDataFrame(guests, "_key long, _host int"))  # at most BUCKETS rows
-    placed = rows.join(guest, "_key", "left").withColumn("_to", F.explode(F.when(F.col("_host").isNull(), F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("guest")), F.struct(F.col("_host").alias("b"), F.lit(True).alias("guest"))))))
-    order = Window.partitionBy("_to.b").orderBy(F.col("_to.guest"), F.col("_key").desc(), F.xxhash64(*columns))
-    out = placed.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns])
-    return out.where(~F.col("_to.guest")).select(id_col, *columns, *[f"next_{c}" for c in columns])
+    each = rows.groupBy("key", "text_key").agg(F.max("id").alias("id"), F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
+    parts = tables.keep(each.repartitionByRange(F.col("key").desc(), F.col("text_key")).withColumn("part", F.spark_partition_id()), "order")
+    row = F.struct("key", "text_key", "id", "n_chars", "copies")
+    late = F.struct(F.bitwise_not("key"), "text_key")  # turns the order round
+    ends = sorted(((r["part"], r["last"]) for r in parts.groupBy("part").agg(F.max_by(row, late).alias("last")).collect()), key=lambda r: r[0])
+    others = [(part, ends[i - 1][1]) for i, (part, _) in enumerate(ends)]
+    table = F.broadcast(rows.sparkSession.createDataFrame(others, "part int, other struct<key: bigint, text_key: bigint, id: bigint, n_chars: int, copies: bigint>"))  # as many rows as ranges
+    before = F.lag(row).over(Window.partitionBy("part").orderBy(F.col("key").desc(), "text_key"))
+    return tables.keep(parts.join(table, "part").select("key", "text_key", F.coalesce(before, F.col("other")).alias("before")), "next")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -124,10 +113,29 @@ def edited(text: Column, following: Column) -> Column:
 
 
 def edit_report(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprints of each text and of its edited text, with the likenesses to the edited text and to the next document."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = with_successor(rows.withColumn("v", vector(F.col("text"))), ["text", "v"])
-    rows = rows.withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "v", vector(F.col("edited")).alias("e"), F.col("next_v").alias("x"))
-    rows = rows.select("*", *[centred(F.col(c)).alias(f"c{c}") for c in "vex"])
-    return rows.select("doc_id", "n_chars", "edited_sha256", render(F.col("v")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"), likeness_of(F.col("v") == F.col("e"), F.col("cv"), F.col("ce")).alias("near_edited"), likeness_of(F.col("v") == F.col("x"), F.col("cv"), F.col("cx")).alias("near_next"))
+    """Fingerprints of each text and of its edited text, with the likenesses to the edited text and to the next document.
+
+    The next document is the one that follows in descending id order; null ids come last, texts under one id follow each other in the
+    order of a hash. Equal rows are computed once: all of them but the last are followed by a row like themselves. Each text sends
+    the one before it no more characters than that one's edit needs.
+    """
+    kind = dict(df.dtypes)[id_col]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    rows = rows.withColumn("key", F.coalesce("id", F.lit(-(1 << 63))))
+    with Tables(df.sparkSession, "fingerprints") as tables:
+        path = order(rows.select("key", "text_key", "id", F.char_length("text").alias("n_chars")), tables)
+        same, many = ["key", "text_key"], F.col("before.copies") > 1
+        texts = rows.select(*same, "text")
+        if not path.where(many).isEmpty():
+            texts = texts.dropDuplicates(same)
+        ahead = texts.join(path, same)
+        ahead = ahead.select(F.col("before.key").alias("key"), F.col("before.text_key").alias("text_key"), "before.id", "before.copies", F.substring("text", F.lit(1), F.floor(F.col("before.n_chars") / 2).cast("int")).alias("ahead"), vector(F.col("text")).alias("x"))
+        out = texts.join(ahead, same).select("id", "copies", "text", "ahead", vector(F.col("text")).alias("v"), "x")
+        one = lambda ahead, x, times: F.struct(edited(F.col("text"), F.col(ahead)).alias("edited"), F.col(x).alias("x"), times.cast("long").alias("times"))
+        cases = F.when(F.col("copies") > 1, F.array(one("ahead", "x", F.lit(1)), one("text", "v", F.col("copies") - 1))).otherwise(F.array(one("ahead", "x", F.lit(1))))
+        out = out.select("id", F.char_length("text").cast("long").alias("n_chars"), "v", F.explode(cases).alias("case"))
+        out = out.select("id", "n_chars", F.sha2("case.edited", 256).alias("edited_sha256"), "v", vector(F.col("case.edited")).alias("e"), "case.x", "case.times")
+        out = out.select("*", *[centred(F.col(c)).alias(f"c{c}") for c in "vex"])
+        out = out.select(F.col("id").cast(kind).alias("doc_id"), "n_chars", "edited_sha256", render(F.col("v")).alias("fingerprint"), render(F.col("e")).alias("edited_fingerprint"), likeness_of(F.col("v") == F.col("e"), F.col("cv"), F.col("ce")).alias("near_edited"), likeness_of(F.col("v") == F.col("x"), F.col("cv"), F.col("cx")).alias("near_next"), "times")
+        return tables.result(out.select("*", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_")).drop("times", "_"))

@@ -14,7 +14,8 @@ earlier neighbour in each of its blocks, then only with sets that are not yet co
 Blocks of more than ``PIECE`` sets are cut into pieces, and each pair of pieces is its own tree.
 
 Null or empty texts (no words) have an empty set, link with nothing and are their own component. Rows that repeat
-are returned as often as they came; rows under one id count as one node. A null id with words gives a null component unless its set has another id.
+are returned as often as they came. Rows under one id count as one node, whatever their texts (a row without words
+aside). Rows without an id are no node of their own: they get the component of their set, null if no id is linked with it.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frametide.llm.common import Words, bounded_broadcast, connected_components, materialize, mix64, remove_path, utf8, word_blocks
+from frametide.llm.common import Tables, Words, bounded_broadcast, connected_components, mix64, utf8, word_blocks
 
 SHINGLE, GROUPS, BANDS, ROWS, PIECE, LEAF = 4, 128, 32, 3, 2048, 32
 #: Similarity is at least NUMERATOR / DENOMINATOR.
@@ -109,8 +110,8 @@ class CountTree:
         return nodes[ok], bound[ok]
 
 
-def signatures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, counts, keys) for each row: set size, two sums that name the set, group counts, band keys."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """``docs``: (doc_id long, text, text_key). (doc_id, text_key, n_shingles, s1, s2, counts, keys) for each row: set size, two sums that name the set, group counts, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,11 +122,11 @@ def signatures(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
                 keys = [band_keys(s) if len(s) else np.zeros(0, np.int64) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, words.rows), *[pa.array(names[:, i]) for i in range(3)], pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * GROUPS, pa.int32()), pa.array(counts.ravel())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
-                    names=["doc_id", "n_shingles", "s1", "s2", "counts", "keys"],
+                    [batch.column(0).slice(lo, words.rows), batch.column(2).slice(lo, words.rows), *[pa.array(names[:, i]) for i in range(3)], pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * GROUPS, pa.int32()), pa.array(counts.ravel())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))],
+                    names=["doc_id", "text_key", "n_shingles", "s1", "s2", "counts", "keys"],
                 )
 
-    return df.select(id_col, text_col).mapInArrow(run, f"doc_id {dict(df.dtypes)[id_col]}, n_shingles long, s1 long, s2 long, counts array<int>, keys array<long>")
+    return docs.select("doc_id", "text", "text_key").mapInArrow(run, "doc_id long, text_key long, n_shingles long, s1 long, s2 long, counts array<int>, keys array<long>")
 
 
 def _pairs(blocked: DataFrame, nearest: bool) -> DataFrame:
@@ -186,7 +187,7 @@ def linked(left: pa.Array, right: pa.Array) -> list[bool]:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose texts are linked."""
+    """The pairs (u, v) whose texts are linked; ``texts``: (rep, text), each rep once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,51 +196,63 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok = pa.array(linked(part.column(2), part.column(3)))
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(ok), part.column(1).filter(ok)], names=["u", "v"])
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    two = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    one = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
+    two = one.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
 def components(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest id reached by links."""
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark = df.sparkSession
-    rows, rows_path = materialize(signatures(docs), "jaccard-rows")
-    name = ["n_shingles", "s1", "s2"]
-    classes = rows.where("n_shingles > 0").groupBy(*name).agg(F.min("doc_id").alias("rep"))
-    reps = rows.join(classes.withColumnRenamed("rep", "doc_id"), [*name, "doc_id"]).groupBy(F.col("doc_id").alias("rep")).agg(F.first("n_shingles").alias("n"), F.first("counts").alias("counts"), F.first("keys").alias("keys"))
-    reps, reps_path = materialize(reps, "jaccard-classes")
-    keys, keys_path = materialize(reps.select("rep", F.explode("keys").alias("key")), "jaccard-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
-    members = keys.join(shared, "key").join(reps.select("rep", "n", "counts"), "rep")
-    # A block of s pieces has a tree for each pair of pieces; a piece's rows go to the s trees that it takes part in.
-    pieces = F.ceil(F.col("c") / PIECE).cast("int")
-    members = members.withColumn("pieces", pieces).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    members = members.select("key", (F.least("piece", "other") * F.col("pieces") + F.greatest("piece", "other")).alias("cell"), "rep", "n", F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side"), "counts")
-    members, members_path = materialize(members, "jaccard-members")
-    remove_path(spark, keys_path, reps_path)
-
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    ids, ids_path = materialize(ids, "jaccard-ids")
-    texts, texts_path = materialize(docs.join(bounded_broadcast(ids, BROADCAST_ROWS), "doc_id", "left_semi"), "jaccard-texts")
-
-    def trees(labelled: DataFrame, nearest: bool) -> DataFrame:
-        return _pairs(labelled.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep"), nearest)
-
-    first, first_path = materialize(trees(members.withColumn("label", F.col("rep")), True), "jaccard-nearest")
-    links, links_path = materialize(_verify(first, texts), "jaccard-links")
-    known, _ = materialize(connected_components(links, "jaccard-known"), "jaccard-known")
-    remove_path(spark, links_path)
-    labelled = members.join(known.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    rest = trees(labelled.select("key", "cell", "rep", "n", "side", "counts", "label"), False).join(first, ["a", "b"], "left_anti")
-    more, _ = materialize(_verify(rest, texts), "jaccard-more")
-    remove_path(spark, members_path, texts_path, ids_path, first_path)
-    edges = more.select("u", "v").union(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
-    whole = connected_components(edges, "jaccard-whole")
-    labels = classes.join(whole.withColumnRenamed("node", "rep"), "rep", "left").select(*name, F.coalesce("component", "rep").alias("label"))
-    out = rows.select("doc_id", *name).join(labels, name, "left")
-    out = out.select(F.col("doc_id").cast(dict(df.dtypes)[id_col]).alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("label")).otherwise(F.col("doc_id")).alias("component_id"))
-    out, _ = materialize(out, "jaccard-components")
-    remove_path(spark, rows_path)
-    return out
+    """(doc_id, n_shingles, component_id) for each row; component_id is the smallest id reached by links.
+
+    Raises if the components of the links do not settle within the rounds of ``connected_components``.
+    """
+    spark, name = df.sparkSession, ["n_shingles", "s1", "s2"]
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    with Tables(spark, "jaccard") as tables:
+        rows = tables.keep(signatures(docs), "rows")
+        filled, own = rows.where("n_shingles > 0"), F.struct("doc_id", "text_key")
+        # A class holds all rows of one set. A number names it, not an id, as an id may stand for several texts.
+        classes = filled.groupBy(*name).agg(F.min("doc_id").alias("least"), F.min(own).alias("one")).withColumn("rep", F.monotonically_increasing_id())
+        classes = tables.keep(classes, "classes")
+        again = not filled.groupBy(own).count().where("count > 1").isEmpty()  # rows that repeat id and text
+        single = lambda x: x.dropDuplicates(["rep"]) if again else x
+        reps = single(filled.join(classes.select(*name, "rep", "one"), name).where(own.eqNullSafe(F.col("one"))))
+        reps = tables.keep(reps.select("rep", F.col("n_shingles").alias("n"), "counts", "keys"), "reps")
+        keys = tables.keep(reps.select("rep", F.explode("keys").alias("key")), "keys")
+        shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+        members = keys.join(shared, "key").join(reps.select("rep", "n", "counts"), "rep")
+        # A block of s pieces has a tree for each pair of pieces; a piece's rows go to the s trees that it takes part in.
+        members = members.withColumn("pieces", F.ceil(F.col("c") / PIECE).cast("int")).withColumn("piece", F.pmod(F.xxhash64("rep"), F.col("pieces").cast("long")).cast("int"))
+        members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        members = members.select("key", (F.least("piece", "other") * F.col("pieces") + F.greatest("piece", "other")).alias("cell"), "rep", "n", F.when(F.col("piece") == F.col("other"), 0).when(F.col("piece") < F.col("other"), 1).otherwise(2).alias("side"), "counts")
+        members = tables.keep(members, "members")
+        tables.drop("keys", "reps")
+        wanted = members.select("rep").distinct().join(classes.select("rep", F.col("one.doc_id").alias("one_id"), F.col("one.text_key").alias("one_key")), "rep")
+        wanted = tables.keep(wanted, "wanted")
+        texts = docs.join(bounded_broadcast(wanted, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("one_id")) & F.col("text_key").eqNullSafe(F.col("one_key")))
+        texts = tables.keep(single(texts.select("rep", "text")), "texts")
+
+        def trees(labelled: DataFrame, nearest: bool) -> DataFrame:
+            return _pairs(labelled.repartition("key", "cell").sortWithinPartitions("key", "cell", "rep"), nearest)
+
+        first = tables.keep(trees(members.withColumn("label", F.col("rep")), True), "nearest")
+        links = tables.keep(_verify(first, texts), "links")
+        known = connected_components(links, tables, "known")
+        tables.drop("links")
+        labelled = members.join(known.select(F.col("node").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        rest = trees(labelled.select("key", "cell", "rep", "n", "side", "counts", "label"), False).join(first, ["a", "b"], "left_anti")
+        more = tables.keep(_verify(rest, texts), "more")
+        tables.drop("members", "texts", "wanted", "nearest")
+        edges = more.select("u", "v").union(known.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        # An id that names several sets is one node: it links their classes.
+        named = filled.where("doc_id is not null").select("doc_id", *name).distinct()
+        several = tables.keep(named.groupBy("doc_id").count().where("count > 1").select("doc_id"), "several")
+        if not several.isEmpty():
+            named = named.join(several, "doc_id").join(classes.select(*name, "rep"), name)
+            edges = edges.union(named.join(named.groupBy("doc_id").agg(F.min("rep").alias("v")), "doc_id").select(F.col("rep").alias("u"), "v"))
+        whole = connected_components(edges, tables, "whole")
+        labels = classes.select(*name, "rep", "least").join(whole.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        labels = labels.join(labels.groupBy("component").agg(F.min("least").alias("label")), "component").select(*name, "label")
+        kind = dict(df.dtypes)[id_col]
+        out = filled.select("doc_id", *name).join(labels, name).select("doc_id", "n_shingles", "label").union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", "doc_id"))
+        return tables.result(out.select(F.col("doc_id").cast(kind).alias("doc_id"), "n_shingles", F.col("label").cast(kind).alias("component_id")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from frametide.llm import chat_format, decontaminate, fingerprints, jaccard_join, license_scan, quality_rules, sentencepiece_codec, sharding, substring_dedup, toxicity
 from frametide.llm.common import read_table
+from frametide.llm.oracles import ORACLES as ORACLES
 
 #: Fixed value of the contracts: a document is predicted to carry label 1 from this score on.
 THRESHOLD = 0.7
@@ -80,5 +81,3 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_substring_dedup, op4_decontamination, op5_license_scan, op6_jaccard_join, op7_chat_format, op8_sharding, op9_quality, op10_fingerprints)}
-
-ORACLES: dict[str, str] = {}

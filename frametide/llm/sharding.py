@@ -1,10 +1,10 @@
 """Sharding by vector bin packing: groups of equal texts are placed one after the other into the shard whose residual capacity has the largest dot product with the group's (bytes, tokens, rows).
 
-The law that holds is ``bytes``: shard sizes are near equal; tokens and rows are balanced beside it.
-Equal texts share a shard. Groups are packed as units: a group that is large against a shard is a unit of its own,
-all others are gathered into a fixed number of hash buckets, each one unit. A group larger than a
-shard's share of the bytes is split by a row hash into pieces, as it could not be balanced whole. The driver holds at most ``units`` buckets and
-``2 * units`` large groups (and a piece more for each shard), whatever the input.
+The law that holds is ``bytes``: shard sizes are near equal; tokens and rows are balanced beside it, and a byte counts ``LEAD`` times as much.
+Equal texts share a shard. Every group is placed by itself. First the driver places the large ones, those above
+1/``LARGE`` of all bytes or rows (there are at most 2 * ``LARGE``); a group larger than a shard's share of the bytes is split by a row hash into pieces, as it could not be
+balanced whole. All others are dealt by hash into cells of about ``CELL`` groups, and each cell packs its own groups, large ones first, into shards whose
+capacities are the cell's part of what the large groups left open; so every cell comes out even by itself, and so does the sum.
 
 Null text has no bytes (size 1) and counts as the empty text. Repeated rows are rows like any others. ``slot`` numbers the
 rows of a shard without gaps, in an order given by hashes of id and text.
@@ -12,34 +12,65 @@ rows of a shard without gaps, in an order given by hashes of id and text.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from frametide.llm.common import materialize
+from frametide.llm.common import Tables
 
-UNITS = 4096
+LARGE, CELL = 4096, 20_000
 #: How much more an open byte counts in the dot product than an open token or row.
-LEAD = 16.0
+LEAD = 256.0
 #: Rows that one slot-numbering window should hold.
 SLOT_ROWS = 20_000
 
 
-def pack(weights: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each unit (rows of ``weights``); the first dimension is the one that must come out even."""
-    total = weights.sum(axis=0)
-    total[total == 0] = 1
-    w = weights / total * shards  # a shard's capacity is 1 in every dimension
-    residual, out = np.ones((shards, weights.shape[1])), np.zeros(len(weights), dtype=np.int32)
-    importance = np.array([LEAD] + [1.0] * (weights.shape[1] - 1))
+def pack(weights: np.ndarray, capacity: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each group (rows of ``weights``; columns bytes, tokens, rows), the largest placed first, and what stays open of ``capacity`` (a row for each shard)."""
+    unit = capacity.mean(axis=0)
+    unit[unit <= 0] = 1
+    w, residual = weights / unit, capacity / unit
+    out = np.zeros(len(weights), dtype=np.int32)
+    wanted = w * np.array([LEAD] + [1.0] * (weights.shape[1] - 1))
     for i in np.lexsort((np.arange(len(w)), -w[:, 0])):
-        out[i] = best = int(np.argmax(residual @ (w[i] * importance)))
+        out[i] = best = int(np.argmax(residual @ wanted[i]))
         residual[best] -= w[i]
-    return out
+    return out, residual * unit
+
+
+def _pack_cells(open_share: np.ndarray):
+    """Sorted by cell: (text_key, shard) of every group. ``open_share``: each shard's part of what is open, by dimension."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def placed() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            w = np.stack([table.column(c).to_numpy() for c in ("bytes", "tokens", "n")], axis=1).astype(float)
+            shard, _ = pack(w, open_share * w.sum(axis=0))
+            return pa.RecordBatch.from_arrays([table.column("text_key").chunk(0), pa.array(shard)], names=["text_key", "shard"])
+
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and held[-1].column("cell")[0].as_py() != cell[a]:
+                    yield placed()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield placed()
+
+    return run
 
 
-def shard(df: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", units: int = UNITS) -> DataFrame:
+def shard(df: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", large: int = LARGE, cell: int = CELL) -> DataFrame:
     """(doc_id, size, text_crc32, shard, slot) for each row."""
     spark = df.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -51,27 +82,30 @@ def shard(df: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col:
         F.sha2(text, 256).alias("text_key"),
         F.xxhash64(F.lit(1), F.col(id_col), text).alias("row_key"),
     )
-    rows, _ = materialize(rows, "shard-rows")  # narrow: no texts from here on
-    groups = rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"), F.min("row_key").alias("any_row"))
-    groups, _ = materialize(groups.withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(units)).cast("int")), "shard-groups")
-    total = groups.agg(F.sum("bytes"), F.sum("n")).head()
-    whole, count = total[0] or 1, total[1] or 0
-    large = groups.where((F.col("bytes") * units > whole) | (F.col("n") * units > count))
-    large = large.select("text_key", "bytes", "tokens", "n", F.ceil(F.col("bytes") * shards / whole).cast("int").alias("pieces"))
-    big = [r.asDict() for r in large.collect()]  # at most 2 * units groups, as each holds more than 1/units of the bytes or rows
-    names = [(r["text_key"], p, r["pieces"]) for r in big for p in range(r["pieces"])]
-    by = {r["text_key"]: r for r in big}
-    keys = spark.createDataFrame([(r["text_key"], r["pieces"]) for r in big], "text_key string, pieces int")
-    small = groups.join(F.broadcast(keys), "text_key", "left_anti").groupBy("bucket").agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).collect()
-    vectors = [[by[k]["bytes"] / s, by[k]["tokens"] / s, by[k]["n"] / s] for k, _, s in names] + [[float(x) for x in r[1:]] for r in small]
-    placed = pack(np.array(vectors, dtype=float).reshape(-1, 3), shards)
-    of_big = spark.createDataFrame([(k, p, int(s)) for (k, p, _), s in zip(names, placed, strict=False)], "text_key string, piece int, big_shard int")
-    of_small = spark.createDataFrame([(r[0], int(s)) for r, s in zip(small, placed[len(names) :], strict=True)], "bucket int, small_shard int")
-    out = rows.join(F.broadcast(keys), "text_key", "left")
-    out = out.withColumn("piece", F.pmod("row_key", F.coalesce("pieces", F.lit(1)).cast("long")).cast("int")).withColumn("bucket", F.pmod(F.xxhash64("text_key"), F.lit(units)).cast("int"))
-    out = out.join(F.broadcast(of_big), ["text_key", "piece"], "left").join(F.broadcast(of_small), "bucket", "left")
-    out = out.select("doc_id", "size", "text_crc32", "row_key", F.coalesce("big_shard", "small_shard").alias("shard"))
-    return number(out, count, shards)
+    with Tables(spark, "sharding") as tables:
+        rows = tables.keep(rows, "rows")  # narrow: no texts from here on
+        groups = tables.keep(rows.groupBy("text_key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")), "groups")
+        whole, tokens, count, n_groups = groups.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("bytes", "tokens", "n")], F.count("*")).head()
+        capacity = np.tile(np.array([whole, tokens, count], dtype=float) / shards, (shards, 1))
+        is_large = (F.col("bytes") * large > whole) | (F.col("n") * large > count)
+        big = groups.where(is_large).select("text_key", "bytes", "tokens", "n", F.ceil(F.col("bytes") * shards / whole).cast("int").alias("pieces")).collect()  # at most 2 * large groups
+        names = [(r["text_key"], p, r["pieces"]) for r in big for p in range(r["pieces"])]
+        weights = np.array([[r[c] / r["pieces"] for c in ("bytes", "tokens", "n")] for r in big for _ in range(r["pieces"])], dtype=float).reshape(-1, 3)
+        placed, left = pack(weights, capacity)
+        of_big = F.broadcast(spark.createDataFrame([(k, p, s, int(x)) for (k, p, s), x in zip(names, placed, strict=True)], "text_key string, piece int, pieces int, shard int"))
+        # Where large groups overfill a shard in tokens or rows, these cannot come out even; the others then follow the open bytes.
+        left[:, (left < 0).any(axis=0)] = left[:, :1]
+        left = np.maximum(left, 0)
+        share = left / np.where(left.sum(axis=0) > 0, left.sum(axis=0), 1)
+        cells = max(1, -(-n_groups // cell))
+        small = groups.where(~is_large).withColumn("cell", F.pmod(F.xxhash64("text_key"), F.lit(cells)).cast("int"))
+        small = small.repartition("cell").sortWithinPartitions("cell", "text_key").mapInArrow(_pack_cells(share), "text_key string, shard int")
+        keys = of_big.select("text_key", "pieces").distinct()
+        of_large = rows.join(F.broadcast(keys), "text_key").withColumn("piece", F.pmod("row_key", F.col("pieces").cast("long")).cast("int")).join(of_big.drop("pieces"), ["text_key", "piece"])
+        of_small = rows.join(F.broadcast(keys), "text_key", "left_anti").join(small, "text_key")
+        columns = ["doc_id", "size", "text_crc32", "row_key", "shard"]
+        out = tables.keep(of_large.select(*columns).union(of_small.select(*columns)), "placed")
+        return tables.result(number(out, count, shards))
 
 
 def number(rows: DataFrame, count: int, shards: int) -> DataFrame:
