@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from frametide.llm.common import Tables
 
 LARGE, CELL = 4096, 20_000
-#: How much more an open byte counts in the dot product than an open token or row.
-LEAD = 256.0
+#: How much more an open byte counts in the dot product than an open token or row: enough for the law to hold where a hot group overfills a shard in rows.
+LEAD = 4096.0
 #: Rows that one slot-numbering window should hold.
 SLOT_ROWS = 20_000
 
