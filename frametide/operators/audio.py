@@ -23,9 +23,9 @@ def envelope(pcm: DataFrame, hop: int) -> DataFrame:
 
 
 def presence(pcm: DataFrame, media: DataFrame, silence: float) -> DataFrame:
-    """absent (no samples), silence (peak not above the floor) or present, for each media."""
+    """absent (no samples), present (peak at or above the floor) or silence, for each media."""
     peak = pcm.groupBy("media_id").agg(F.max(F.abs("x")).alias("peak"))
-    state = F.when(F.col("peak").isNull(), "absent").when(F.col("peak") <= silence, "silence").otherwise("present")
+    state = F.when(F.col("peak").isNull(), "absent").when(F.col("peak") >= silence, "present").otherwise("silence")
     return media.join(peak, "media_id", "left").select("media_id", state.alias("presence"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: BT.709 linear RGB to XYZ (the second row weighs luma), the gates of the estimate, the least spread of channels.
 TO_XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
@@ -34,3 +35,13 @@ def largest_difference(left: DataFrame, right: DataFrame, keys: list[str], value
     """The greatest absolute difference of the values that two maps have under equal keys; null if they share none."""
     both = left.select(*keys, F.col(value).alias("_a")).join(right.select(*keys, F.col(value).alias("_b")), keys)
     return both.agg(F.max(F.abs(F.col("_a") - F.col("_b"))).alias("max_abs"), F.count("*").alias("n"))
+
+
+def palette(pixels: DataFrame, keys: list[str], least: float = 0.02, most: int = 5) -> DataFrame:
+    """The most frequent colours of each group, quantised to five bits: hex of the bin's centre and its share (four digits), by count, then colour."""
+    level = lambda c: F.floor(F.col(c) / 8).cast("int").alias(c)
+    counts = pixels.groupBy(*keys, level("r"), level("g"), level("b")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy(*keys)
+    rows = counts.withColumn("_share", F.col("n") / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "r", "g", "b")).cast("long"))
+    centre = lambda c: F.least(F.lit(255), F.col(c) * 8 + 4)
+    return rows.where((F.col("_share") >= least) & (F.col("rank") <= most)).select(*keys, "rank", F.format_string("#%02x%02x%02x", centre("r"), centre("g"), centre("b")).alias("hex"), F.round("_share", 4).alias("fraction"))

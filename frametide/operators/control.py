@@ -26,12 +26,25 @@ def conflicts(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("idempotency_key").agg(F.countDistinct("request_hash").alias("n_hashes"), F.count("*").alias("n_jobs")).where("n_hashes > 1")
 
 
-def allowed_hosts(hosts: DataFrame, exact: list[str], suffixes: list[str]) -> DataFrame:
-    """Rows whose host is listed, or lies below a listed suffix (a wildcard never matches its bare suffix)."""
-    ok = F.col("host").isin(exact)
-    for s in suffixes:
-        ok = ok | F.col("host").endswith("." + s)
-    return hosts.where(ok)
+def host_of(url: Column) -> Column:
+    """The lower-cased host of an http or https address, without credentials and port; empty if there is none."""
+    return F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#]*@)?([^/:?#@]+)", 1))
+
+
+def allowed_urls(rows: DataFrame, patterns: list[str]) -> DataFrame:
+    """Rows whose host is listed, or lies below the suffix of a pattern ``*.suffix`` (which never matches the bare suffix)."""
+    rows = rows.withColumn("host", host_of(F.col("url")))
+    ok = F.col("host").isin([p for p in patterns if not p.startswith("*.")])
+    for p in patterns:
+        if p.startswith("*."):
+            ok = ok | (F.col("host").endswith(p[1:]) & (F.length("host") > len(p) - 1))
+    return rows.where((F.col("host") != "") & ok).drop("url")
+
+
+def freshness(expires_at: Column, now: Column) -> Column:
+    """``live``, ``expired`` (from the very moment on) or ``invalid``, of an ISO-8601 time; without a zone it is UTC, the session's zone."""
+    at = F.try_to_timestamp(F.regexp_replace(expires_at, "T", " "))
+    return F.when(at.isNull(), "invalid").when(now >= at, "expired").otherwise("live")
 
 
 def precision_recall(rows: DataFrame) -> DataFrame:
@@ -39,10 +52,17 @@ def precision_recall(rows: DataFrame) -> DataFrame:
     return rows.agg(hit.alias("hits"), (hit / F.sum(F.col("predicted").cast("long"))).alias("precision"), (hit / F.sum(F.col("actual").cast("long"))).alias("recall"))
 
 
-def overall_status(rows: DataFrame, key: str) -> DataFrame:
-    """ok if all parts are, failed if none is, else partial."""
-    good, n = F.sum(F.col("ok").cast("long")), F.count("*")
-    return rows.groupBy(key).agg(F.when(good == n, "ok").when(good == 0, "failed").otherwise("partial").alias("status"), n.alias("n_parts"))
+def overall_status(parts: DataFrame, key: str) -> DataFrame:
+    """Of the parts' statuses: completed if all are; with failures, partial if any is completed, else failed; else partial."""
+    any_of = lambda s: F.bool_or(F.col("status") == s)
+    status = F.when(F.bool_and(F.col("status") == "completed"), "completed").when(any_of("failed") & ~any_of("completed"), "failed").otherwise("partial")
+    return parts.groupBy(key).agg(status.alias("status"), F.count("*").alias("n_parts"))
+
+
+def native_status(parts: DataFrame, key: str) -> DataFrame:
+    """The same for images and audio: completed if all are, partial if any is completed or partial, else failed."""
+    status = F.when(F.bool_and(F.col("status") == "completed"), "completed").when(F.bool_or(F.col("status").isin("completed", "partial")), "partial").otherwise("failed")
+    return parts.groupBy(key).agg(status.alias("status"), F.count("*").alias("n_parts"))
 
 
 def rounded_rank(rows: DataFrame, key: str, value: str, order: list[str], q: float) -> DataFrame:

@@ -10,8 +10,14 @@ from pyspark.sql.window import Window
 
 from frametide.functions.geometry import iou
 
-#: Hash side and distance, clip levels, gap of a track, windows of motion pairs, suppression overlap, smoothing weight of the past.
-NEAR_DUPLICATE_BITS, CLIP_LOW, CLIP_HIGH, MOTION_WINDOW, NMS_IOU, EMA_WEIGHT = 6, 5, 250, 15, 0.45, 0.65
+#: Hash side and distance, clip levels, windows of motion pairs, suppression overlap and count, smoothing weight of the past.
+NEAR_DUPLICATE_BITS, CLIP_LOW, CLIP_HIGH, MOTION_WINDOW, NMS_IOU, NMS_MOST, EMA_WEIGHT = 6, 5, 250, 15, 0.45, 100, 0.65
+#: Bands of overlaid text, least score of a detection, quality flags.
+TEXT_TOP, TEXT_BOTTOM, MIN_SCORE, SHAKE, BLOWN, CRUSHED = 0.20, 0.85, 0.25, 0.0065, 0.018, 0.022
+#: Thresholds of the camera moves.
+STATIC, MOVING, HANDHELD, WHIP = 0.0018, 0.0025, 0.0020, 0.028
+PUSH, PULL, DIRECTED, STEADY = 1.004, 0.996, 0.52, 0.48
+WHIP_COHERENCE, HANDHELD_COHERENCE, HANDHELD_RESIDUAL = 0.42, 0.54, 0.0035
 
 
 def frames_to_shots(frames: DataFrame, shots: DataFrame) -> DataFrame:
@@ -69,27 +75,75 @@ def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
     return a.join(b, ["media_id", "frame"]).where("det_a < det_b").select("media_id", "frame", "det_a", "det_b", overlap.alias("iou")).where(F.col("iou") >= least)
 
 
-def gap_fill(track: DataFrame, max_gap: int) -> DataFrame:
-    """Samples of each track with interpolated ones wherever two follow each other by more than ``max_gap`` frames: at steps of ``max_gap`` from the left one."""
-    w = Window.partitionBy("media_id").orderBy("frame")
-    rows = track.withColumn("nf", F.lead("frame").over(w)).withColumn("nx", F.lead("x").over(w))
-    steps = F.when(F.col("nf") - F.col("frame") > max_gap, F.sequence(F.col("frame") + max_gap, F.col("nf") - 1, F.lit(max_gap).cast("long"))).otherwise(F.array().cast("array<long>"))
-    filled = rows.select("media_id", F.explode(steps).alias("f"), "frame", "x", "nf", "nx")
-    filled = filled.select("media_id", F.col("f").alias("frame"), (F.col("x") + (F.col("nx") - F.col("x")) * (F.col("f") - F.col("frame")) / (F.col("nf") - F.col("frame"))).alias("x"), F.lit("heuristic").alias("kind"))
-    return rows.select("media_id", "frame", "x", F.lit("detector").alias("kind")).union(filled)
+def text_bands(boxes: DataFrame) -> DataFrame:
+    """Boxes whose centre lies in the top or bottom band, where overlaid text stands (bounds included)."""
+    centre = F.round(F.col("y") + F.col("h") / 2, 6)
+    return boxes.where((centre <= TEXT_TOP) | (centre >= TEXT_BOTTOM))
 
 
-def motion_windows(pairs: DataFrame, window: int = MOTION_WINDOW) -> DataFrame:
-    """Mean magnitude and coherence, and the circular mean of the direction, of every ``window`` frames."""
-    out = pairs.groupBy("media_id", F.floor(F.col("start_frame") / window).alias("w")).agg(F.avg("magnitude").alias("magnitude"), F.avg("coherence").alias("coherence"), F.avg(F.sin("direction")).alias("s"), F.avg(F.cos("direction")).alias("c"), F.count("*").alias("n"))
-    return out.withColumn("direction", F.atan2("s", "c")).drop("s", "c")
+def confident(boxes: DataFrame, wanted: int, least: float = MIN_SCORE) -> DataFrame:
+    """Detections of the wanted class at or above the least score."""
+    return boxes.where((F.col("score") >= least) & (F.col("class") == wanted))
+
+
+def between(left: str, right: str, part: Column) -> Column:
+    return F.col(left) + (F.col(right) - F.col(left)) * part
 
 
-def runs(rows: DataFrame, label: str, order: str, score: str) -> DataFrame:
-    """Run-length merge of equal neighbouring labels: first and last position, and the mean score."""
-    w = Window.partitionBy("media_id").orderBy(order)
-    new = (F.coalesce(F.lag(label).over(w), F.lit("")) != F.col(label)).cast("int")
-    return rows.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).groupBy("media_id", "run").agg(F.first(label).alias(label), F.min(order).alias("first"), F.max(order).alias("last"), F.avg(score).alias("score"))
+def gap_fill(track: DataFrame, max_gap: int, mandatory: Column) -> DataFrame:
+    """Samples of each track, and a box between two of them at every ``max_gap``-th frame from the left one: ``tracked`` where ``mandatory`` holds for its frame, else ``interpolated``."""
+    w = Window.partitionBy("media_id").orderBy("frame")
+    rows = track.withColumns({f"_{c}": F.lead(c).over(w) for c in ("frame", *"xywh")})
+    steps = F.when(F.col("_frame") - F.col("frame") > max_gap, F.sequence(F.col("frame") + max_gap, F.col("_frame") - 1, F.lit(max_gap).cast("long"))).otherwise(F.array().cast("array<long>"))
+    filled = rows.withColumn("_at", F.explode(steps)).withColumn("_part", (F.col("_at") - F.col("frame")) / (F.col("_frame") - F.col("frame")))
+    filled = filled.select("media_id", F.col("_at").alias("frame"), *[between(c, f"_{c}", F.col("_part")).alias(c) for c in "xywh"])
+    kind = F.when(mandatory, "tracked").otherwise("interpolated")
+    return track.select("media_id", "frame", *"xywh", F.lit("detected").alias("kind")).union(filled.withColumn("kind", kind))
+
+
+def motion_windows(pairs: DataFrame, window: int = MOTION_WINDOW) -> DataFrame:
+    """All windows of ``window`` frames up to each media's last pair: mean magnitude, coherence, scale and residual, and the circular mean of the direction (null below ``STATIC``).
+
+    Windows without pairs are still. Magnitude, coherence and direction come rounded to six digits, as the classifier reads them.
+    """
+    ends = pairs.groupBy("media_id").agg((F.max("start_frame") + 3).alias("_n"))  # a pair spans two frames behind its first
+    spans = ends.withColumn("start_frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(window).cast("long"))))
+    means = pairs.groupBy("media_id", (F.floor(F.col("start_frame") / window) * window).alias("start_frame")).agg(*[F.avg(c).alias(c) for c in ("magnitude", "coherence", "scale", "residual")], F.atan2(F.sum(F.sin("direction")), F.sum(F.cos("direction"))).alias("direction"))
+    out = spans.join(means, ["media_id", "start_frame"], "left")
+    known = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    direction = F.when(F.col("magnitude") >= STATIC, F.round("direction", 6) + F.lit(0.0))
+    return out.select("media_id", "start_frame", F.least(F.col("start_frame") + window, F.col("_n")).alias("end_frame"), F.round(known("magnitude", 0.0), 6).alias("magnitude"), direction.alias("direction"), F.round(known("coherence", 0.0), 6).alias("coherence"), known("scale", 1.0).alias("scale"), known("residual", 0.0).alias("residual"))
+
+
+def camera_moves(windows: DataFrame) -> DataFrame:
+    """kind and score (0 to 1) of each motion window: the first rule that holds."""
+    m, c, s, e, a = (F.col(x) for x in ("magnitude", "coherence", "scale", "residual", "direction"))
+    way = F.when(F.abs(F.cos(a)) >= F.abs(F.sin(a)), "pan").otherwise("tilt")
+    steady = (c >= STEADY) & (m >= MOVING)
+    rules = [
+        ((m >= WHIP) & (c <= WHIP_COHERENCE), F.lit("whip"), m / WHIP * 0.7),
+        (steady & (s >= PUSH), F.lit("push_in"), (s - 1) * 120 + 0.35),
+        (steady & (s <= PULL), F.lit("pull_out"), (1 - s) * 120 + 0.35),
+        (m < STATIC, F.lit("static"), 1 - m / STATIC),
+        (a.isNotNull() & (c >= DIRECTED) & (m >= MOVING), way, m / WHIP + c * 0.2),
+        ((m >= HANDHELD) & (c <= HANDHELD_COHERENCE) & (e >= HANDHELD_RESIDUAL), F.lit("handheld"), (1 - c) * 0.8 + e * 40),
+        (steady & a.isNotNull(), way, m / WHIP + 0.15),
+        (m >= HANDHELD, F.lit("handheld"), m / WHIP),
+    ]
+    kind = score = None
+    for holds, name, value in rules:
+        kind = F.when(holds, name) if kind is None else kind.when(holds, name)
+        score = F.when(holds, value) if score is None else score.when(holds, value)
+    return windows.withColumn("kind", kind.otherwise("static")).withColumn("score", F.least(F.lit(1.0), score.otherwise(0.5)))
+
+
+def camera_runs(moves: DataFrame) -> DataFrame:
+    """Neighbouring windows of one kind that touch become one move, with the mean magnitude and score."""
+    w = Window.partitionBy("media_id").orderBy("start_frame")
+    fresh = F.coalesce((F.lag("kind").over(w) != F.col("kind")) | (F.lag("end_frame").over(w) != F.col("start_frame")), F.lit(True))
+    rows = moves.withColumn("_fresh", fresh.cast("int")).withColumn("_run", F.sum("_fresh").over(w))
+    out = rows.groupBy("media_id", "_run").agg(F.min("start_frame").alias("start_frame"), F.max("end_frame").alias("end_frame"), F.first("kind").alias("kind"), F.avg("magnitude").alias("magnitude"), F.least(F.greatest(F.avg("score"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+    return out.drop("_run")
 
 
 def average_hash(patch: Column) -> Column:
@@ -127,9 +181,9 @@ def sharpest(frames: DataFrame, keys: list[str], score: str) -> DataFrame:
     return frames.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def quality_flags(sharpness: Column, blown: Column, crushed: Column, soft: float, blown_share: float = 0.018, crushed_share: float = 0.022) -> Column:
+def quality_flags(sharpness: Column, shake: Column, blown: Column, crushed: Column, duplicate_of: Column, soft: float = 120.0) -> Column:
     """Flags that apply, in a fixed order, joined by commas."""
-    return F.concat_ws(",", F.when(sharpness < soft, "soft_focus"), F.when(blown >= blown_share, "blown"), F.when(crushed >= crushed_share, "crushed"))
+    return F.concat_ws(",", F.when(sharpness < soft, "soft_focus"), F.when(shake >= SHAKE, "severe_shake"), F.when(blown >= BLOWN, "blown_highlights"), F.when(crushed >= CRUSHED, "crushed_shadows"), F.when(duplicate_of.isNotNull(), "near_duplicate"))
 
 
 def nms(boxes: DataFrame, least: float = NMS_IOU) -> DataFrame:

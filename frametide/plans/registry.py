@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frametide.functions.geometry import clip
-from frametide.operators import audio, colour, control, frames, tracks
+from frametide.operators import audio, colour, control, depth, frames, tracks
 from frametide.sources import tables as t
 from frametide.streaming import telemetry
 
@@ -43,7 +43,7 @@ def audio_waveform_envelope(spark, d):
     return r6(audio.envelope(t.signal(spark, d), 2), "low", "high")
 
 
-@query(f"WITH {t.SIG}, p AS (SELECT media_id, max(abs(x)) AS peak FROM sig GROUP BY 1) SELECT c_custkey::BIGINT AS media_id, CASE WHEN peak IS NULL THEN 'absent' WHEN peak <= 0.5 THEN 'silence' ELSE 'present' END AS presence FROM customer LEFT JOIN p ON media_id = c_custkey")
+@query(f"WITH {t.SIG}, p AS (SELECT media_id, max(abs(x)) AS peak FROM sig GROUP BY 1) SELECT c_custkey::BIGINT AS media_id, CASE WHEN peak IS NULL THEN 'absent' WHEN peak >= 0.5 THEN 'present' ELSE 'silence' END AS presence FROM customer LEFT JOIN p ON media_id = c_custkey")
 def signal_presence(spark, d):
     media = t.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("media_id"))
     return audio.presence(t.signal(spark, d).select(F.col("media_id").cast("long"), "x"), media, 0.5)
@@ -127,16 +127,27 @@ def box_clip_normalize(spark, d):
     return r6(b.select("media_id", "frame", "det", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h")), "x", "y", "w", "h")
 
 
-@query(f"WITH {t.BOXES} SELECT media_id, frame, det FROM boxes WHERE score >= 0.25 AND round(y + h / 2, 6) >= 0.2 AND round(y + h / 2, 6) < 0.85")
+@query(f"WITH {t.BOXES} SELECT media_id, frame, det FROM boxes WHERE round(y + h / 2, 6) <= 0.2 OR round(y + h / 2, 6) >= 0.85")
 def roi_filter(spark, d):
-    centre = F.round(F.col("y") + F.col("h") / 2, 6)
-    return t.boxes(spark, d).where((F.col("score") >= 0.25) & (centre >= 0.2) & (centre < 0.85)).select("media_id", "frame", "det")
+    return frames.text_bands(t.boxes(spark, d)).select("media_id", "frame", "det")
 
 
-@query(f"WITH {t.BOXES}, tr AS (SELECT media_id, frame * 10 AS frame, min(x) AS x FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx FROM tr WINDOW w AS (PARTITION BY media_id ORDER BY frame)), g AS (SELECT *, unnest(range(frame + 4, nf, 4)) AS f FROM n WHERE nf - frame > 4) SELECT media_id, frame, round(x, 6) AS x, 'detector' AS kind FROM tr UNION ALL SELECT media_id, f, round(x + (nx - x) * (f - frame) / (nf - frame), 6), 'heuristic' FROM g")
+@query(f"WITH {t.BOXES}, c AS (SELECT media_id, frame, det, score, (det * 7 + frame) % 3 AS class FROM boxes) SELECT media_id, frame, det, round(score, 6) AS score FROM c WHERE score >= 0.25 AND class = 0")
+def detection_confidence_filter(spark, d):
+    return r6(frames.confident(t.boxes(spark, d).withColumn("class", (F.col("det") * 7 + F.col("frame")) % 3), 0).select("media_id", "frame", "det", "score"), "score")
+
+
+_TRACK = f"{t.BOXES}, tr AS (SELECT media_id, frame * 10 AS frame, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER k AS nf, lead(x) OVER k AS nx, lead(y) OVER k AS ny, lead(w) OVER k AS nw, lead(h) OVER k AS nh FROM tr WINDOW k AS (PARTITION BY media_id ORDER BY frame))"
+_LERP = ", ".join(f"round({c} + (n{c} - {c}) * (f - frame) / (nf - frame), 6) AS {c}" for c in "xywh")
+
+
+def _track(spark, d):
+    return t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 10).alias("frame")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"))
+
+
+@query(f"WITH {_TRACK}, g AS (SELECT *, unnest(range(frame + 4, nf, 4)) AS f FROM n WHERE nf - frame > 1) SELECT media_id, frame, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, 'detected' AS kind FROM tr UNION ALL SELECT media_id, f, {_LERP}, CASE WHEN f % 12 = 0 THEN 'tracked' ELSE 'interpolated' END FROM g")
 def track_gap_fill(spark, d):
-    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 10).alias("frame")).agg(F.min("x").alias("x"))
-    return r6(frames.gap_fill(track, 4), "x")
+    return r6(frames.gap_fill(_track(spark, d), 4, F.col("frame") % 12 == 0), "x", "y", "w", "h")
 
 
 @query(f"WITH {t.BOXES} SELECT media_id, count(DISTINCT frame) AS n_frames, max(frame) - min(frame) + 1 AS span, round(count(DISTINCT frame) / (max(frame) - min(frame) + 1), 6) AS persistence, round(avg(score), 6) AS score FROM boxes GROUP BY 1")
@@ -146,20 +157,35 @@ def region_persistence(spark, d):
     return r6(out, "persistence", "score")
 
 
-_WINDOWS = "SELECT media_id, (start_frame // 15)::BIGINT AS w, avg(magnitude) AS magnitude, avg(coherence) AS coherence, count(*) AS n, atan2(avg(sin(direction)), avg(cos(direction))) AS direction FROM pairs GROUP BY ALL"
+_WINDOWS = """spans AS (SELECT media_id, unnest(range(0, (max(start_frame) + 3)::BIGINT, 15)) AS start_frame, (max(start_frame) + 3)::BIGINT AS n FROM pairs GROUP BY media_id),
+m AS (SELECT media_id, (start_frame // 15) * 15 AS start_frame, avg(magnitude) AS magnitude, avg(coherence) AS coherence, avg(scale) AS scale, avg(residual) AS residual, atan2(sum(sin(direction)), sum(cos(direction))) AS direction FROM pairs GROUP BY ALL),
+win AS (SELECT media_id, start_frame, least(start_frame + 15, n)::BIGINT AS end_frame, coalesce(round(magnitude, 6), 0) AS magnitude, coalesce(round(coherence, 6), 0) AS coherence, coalesce(scale, 1) AS scale, coalesce(residual, 0) AS residual, CASE WHEN magnitude >= 0.0018 THEN round(direction, 6) + 0.0 END AS direction FROM spans LEFT JOIN m USING (media_id, start_frame))"""
+_MOVES = """kinds AS (SELECT *, direction IS NOT NULL AS turned, abs(cos(direction)) >= abs(sin(direction)) AS level FROM win),
+moves AS (SELECT media_id, start_frame, end_frame, magnitude, CASE
+  WHEN magnitude >= 0.028 AND coherence <= 0.42 THEN ['whip', least(1, magnitude / 0.028 * 0.7)::VARCHAR]
+  WHEN coherence >= 0.48 AND magnitude >= 0.0025 AND scale >= 1.004 THEN ['push_in', least(1, (scale - 1) * 120 + 0.35)::VARCHAR]
+  WHEN coherence >= 0.48 AND magnitude >= 0.0025 AND scale <= 0.996 THEN ['pull_out', least(1, (1 - scale) * 120 + 0.35)::VARCHAR]
+  WHEN magnitude < 0.0018 THEN ['static', least(1, 1 - magnitude / 0.0018)::VARCHAR]
+  WHEN turned AND coherence >= 0.52 AND magnitude >= 0.0025 THEN [CASE WHEN level THEN 'pan' ELSE 'tilt' END, least(1, magnitude / 0.028 + coherence * 0.2)::VARCHAR]
+  WHEN magnitude >= 0.002 AND coherence <= 0.54 AND residual >= 0.0035 THEN ['handheld', least(1, (1 - coherence) * 0.8 + residual * 40)::VARCHAR]
+  WHEN turned AND magnitude >= 0.0025 AND coherence >= 0.48 THEN [CASE WHEN level THEN 'pan' ELSE 'tilt' END, least(1, magnitude / 0.028 + 0.15)::VARCHAR]
+  WHEN magnitude >= 0.002 THEN ['handheld', least(1, magnitude / 0.028)::VARCHAR] ELSE ['static', '0.5'] END AS k FROM kinds)"""
 
 
-@query(f"WITH {t.MOTION}, m AS ({_WINDOWS}) SELECT media_id, w, n, round(magnitude, 6) AS magnitude, round(coherence, 6) AS coherence, round(direction, 6) + 0.0 AS direction FROM m")
+@query(f"WITH {t.MOTION}, {_WINDOWS} SELECT media_id, start_frame, end_frame, round(magnitude, 6) AS magnitude, direction, round(coherence, 6) AS coherence, round(scale, 6) AS scale, round(residual, 6) AS residual FROM win")
 def motion_windows_circular_mean(spark, d):
-    return r6(frames.motion_windows(t.motion_pairs(spark, d)), "magnitude", "coherence", "direction")
+    return r6(frames.motion_windows(t.motion_pairs(spark, d)), "scale", "residual")
+
 
+@query(f"WITH {t.MOTION}, {_WINDOWS}, {_MOVES} SELECT media_id, start_frame, k[1] AS kind, round(k[2]::DOUBLE, 6) AS score FROM moves")
+def camera_move_windows(spark, d):
+    return r6(frames.camera_moves(frames.motion_windows(t.motion_pairs(spark, d))).select("media_id", "start_frame", "kind", "score"), "score")
 
-@query(f"WITH {t.MOTION}, m AS ({_WINDOWS}), l AS (SELECT media_id, w, round(coherence, 6) AS coherence, CASE WHEN round(magnitude, 6) < 0.008 THEN 'static' WHEN round(coherence, 6) >= 0.5 THEN 'pan' ELSE 'shake' END AS move FROM m), q AS (SELECT *, (coalesce(lag(move) OVER (PARTITION BY media_id ORDER BY w), '') <> move)::INT AS nw FROM l), r AS (SELECT *, (sum(nw) OVER (PARTITION BY media_id ORDER BY w))::BIGINT AS run FROM q) SELECT media_id, run, move, min(w) AS first, max(w) AS last, round(avg(coherence), 5) AS score FROM r GROUP BY ALL")
+
+@query(f"WITH {t.MOTION}, {_WINDOWS}, {_MOVES}, q AS (SELECT *, coalesce(lag(k[1]) OVER w <> k[1] OR lag(end_frame) OVER w <> start_frame, true) AS fresh FROM moves WHERE (start_frame + media_id) % 7 <> 3 WINDOW w AS (PARTITION BY media_id ORDER BY start_frame)), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY media_id ORDER BY start_frame) AS run FROM q) SELECT media_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, min(k[1]) AS kind, round(avg(magnitude) + 1e-9, 5) AS magnitude, round(least(greatest(avg(k[2]::DOUBLE), 0), 1), 5) AS score FROM r GROUP BY media_id, run")
 def camera_move_rle(spark, d):
-    w = frames.motion_windows(t.motion_pairs(spark, d))
-    move = F.when(F.round("magnitude", 6) < 0.008, "static").when(F.round("coherence", 6) >= 0.5, "pan").otherwise("shake")
-    out = frames.runs(w.select("media_id", "w", F.round("coherence", 6).alias("coherence"), move.alias("move")), "move", "w", "coherence")
-    return out.withColumn("score", F.round("score", 5))
+    moves = frames.camera_moves(frames.motion_windows(t.motion_pairs(spark, d))).where((F.col("start_frame") + F.col("media_id")) % 7 != 3)  # windows that are missing end a run
+    return frames.camera_runs(moves).withColumns({"magnitude": F.round(F.col("magnitude") + 1e-9, 5), "score": F.round("score", 5)})
 
 
 _HASH = f"{t.PATCH}, hs AS (SELECT media_id, frame_index, list_transform(patch, lambda v: (v >= list_sum(patch) / 64)::INT) AS bits FROM patches)"
@@ -190,14 +216,10 @@ def exposure_percentiles(spark, d):
     return r6(out, "p05", "p50", "p95", "low_share", "high_share")
 
 
-@query(f"WITH {t.PATCH}, u AS (SELECT media_id, (unnest(patch) // 16)::INT AS colour FROM patches), c AS (SELECT media_id, colour, count(*) AS n FROM u GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY media_id) AS share, row_number() OVER (PARTITION BY media_id ORDER BY n DESC, colour) AS rank FROM c) SELECT media_id, rank, colour, round(share, 6) AS share FROM s WHERE rank <= 5 AND share >= 0.02")
+@query(f"WITH {t.PIXELS}, c AS (SELECT media_id, frame_index // 10 AS shot, r // 8 AS r, g // 8 AS g, b // 8 AS b, count(*) AS n FROM pixels GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY media_id, shot) AS share, row_number() OVER (PARTITION BY media_id, shot ORDER BY n DESC, r, g, b) AS rank FROM c) SELECT media_id, shot, rank, format('#{{:02x}}{{:02x}}{{:02x}}', least(255, r * 8 + 4)::INT, least(255, g * 8 + 4)::INT, least(255, b * 8 + 4)::INT) AS hex, round(share, 4) AS fraction FROM s WHERE share >= 0.02 AND rank <= 5")
 def palette_topk(spark, d):
-    from pyspark.sql.window import Window
-
-    c = t.patches(spark, d).select("media_id", F.explode("patch").alias("v")).select("media_id", F.floor(F.col("v") / 16).cast("int").alias("colour")).groupBy("media_id", "colour").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("media_id")
-    out = c.withColumn("share", F.col("n") / F.sum("n").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "colour")).cast("long"))
-    return r6(out.where("rank <= 5 AND share >= 0.02").select("media_id", "rank", "colour", "share"), "share")
+    rows = t.pixels(spark, d).withColumn("shot", F.floor(F.col("frame_index") / 10))
+    return colour.palette(rows, ["media_id", "shot"])
 
 
 @query("WITH e AS (SELECT event_type AS stage, floor(value)::BIGINT AS duration_ms, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) AS r FROM events) SELECT stage, duration_ms FROM e WHERE r = greatest(1, floor(n * 0.95 + 0.999999))")
@@ -225,18 +247,22 @@ def source_byte_limit(spark, d):
     return t.table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), n.alias("byte_count"), F.when(n > 8192, "SOURCE_TOO_LARGE").otherwise("ok").alias("verdict"))
 
 
-_HOST = r"lower(regexp_extract(url, '^https?://([^/:?#]+)', 1))"
+_HOST = r"lower(regexp_extract(url, '^https?://(?:[^/?#]*@)?([^/:?#@]+)', 1))"
+_URLS = "urls AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN replace(url, '://', '://example.com:x@') WHEN 2 THEN replace(url, '://', '://user@') WHEN 3 THEN replace(url, 'http', 'ftp') ELSE url END AS url FROM pages)"
 
 
-@query(f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, host FROM h WHERE host = 'example.com' OR host LIKE '%.example.com' OR host LIKE '%.example.org'")
+@query(f"WITH {_URLS}, h AS (SELECT page_id, {_HOST} AS host FROM urls) SELECT page_id, host FROM h WHERE host = 'example.com' OR host LIKE '%_.example.com' OR host LIKE '%_.example.org'")
 def host_allowlist_semi_join(spark, d):
-    h = t.table(spark, d, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/:?#]+)", 1)).alias("host"))
-    return control.allowed_hosts(h, ["example.com"], ["example.com", "example.org"])
+    url = F.col("url")
+    odd = F.when(F.col("page_id") % 4 == 1, F.replace(url, F.lit("://"), F.lit("://example.com:x@"))).when(F.col("page_id") % 4 == 2, F.replace(url, F.lit("://"), F.lit("://user@"))).when(F.col("page_id") % 4 == 3, F.replace(url, F.lit("http"), F.lit("ftp"))).otherwise(url)
+    return control.allowed_urls(t.table(spark, d, "pages").select("page_id", odd.alias("url")), ["example.com", "*.example.com", "*.example.org"])
 
 
-@query("SELECT o_orderkey::BIGINT AS grant_id, CASE WHEN o_orderdate < DATE '1995-01-01' THEN 'expired' ELSE 'live' END AS state FROM orders WHERE o_orderpriority <> '5-LOW'")
+@query("SELECT o_orderkey::BIGINT AS grant_id, CASE o_orderkey % 5 WHEN 0 THEN 'invalid' WHEN 1 THEN CASE WHEN o_orderdate <= DATE '1995-01-01' THEN 'expired' ELSE 'live' END ELSE CASE WHEN o_orderdate::TIMESTAMP + INTERVAL 2 HOUR <= TIMESTAMP '1995-01-01 00:00:00' THEN 'expired' ELSE 'live' END END AS state FROM orders")
 def grant_expiry_filter(spark, d):
-    return t.table(spark, d, "orders").where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").cast("long").alias("grant_id"), F.when(F.col("o_orderdate") < F.lit("1995-01-01").cast("date"), "expired").otherwise("live").alias("state"))
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.concat(day, F.lit("T99"))).when(F.col("o_orderkey") % 5 == 1, F.concat(day, F.lit("T00:00:00Z"))).when(F.col("o_orderkey") % 5 == 2, F.concat(day, F.lit("T00:00:00-02:00"))).otherwise(F.concat(day, F.lit("T02:00:00")))
+    return t.table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("grant_id"), control.freshness(text, F.lit("1995-01-01 00:00:00").cast("timestamp")).alias("state"))
 
 
 @query("SELECT user_id AS idempotency_key, count(DISTINCT sha256(props)) AS n_hashes, count(*) AS n_jobs FROM events GROUP BY 1 HAVING count(DISTINCT sha256(props)) > 1")
@@ -255,9 +281,23 @@ def label_precision_recall(spark, d):
     return r6(control.precision_recall(t.table(spark, d, "labels").select((F.col("doc_id") % 3 != 0).alias("predicted"), (F.col("quality") == 1).alias("actual"))), "precision", "recall")
 
 
-@query("SELECT user_id, CASE WHEN sum((event_type <> 'error')::INT) = count(*) THEN 'ok' WHEN sum((event_type <> 'error')::INT) = 0 THEN 'failed' ELSE 'partial' END AS status, count(*) AS n_parts FROM events GROUP BY 1")
+def _statuses(spark, d):
+    kind = F.col("event_type")
+    status = F.when(kind == "view", "completed").when(kind == "error", "failed").when(kind == "click", "partial").otherwise("unavailable")
+    return t.table(spark, d, "events").where("user_id % 5 <> 0 OR event_type = 'view'").select((F.col("user_id") * 1000 + F.floor(F.col("event_id") / 40)).alias("job"), status.alias("status"))
+
+
+_JOBS = "p AS (SELECT user_id * 1000 + event_id // 40 AS job, CASE event_type WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'unavailable' END AS status FROM events WHERE user_id % 5 <> 0 OR event_type = 'view')"
+
+
+@query(f"WITH {_JOBS} SELECT job, CASE WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_or(status = 'failed') AND NOT bool_or(status = 'completed') THEN 'failed' ELSE 'partial' END AS status, count(*) AS n_parts FROM p GROUP BY 1")
 def overall_status_rollup(spark, d):
-    return control.overall_status(t.table(spark, d, "events").select("user_id", (F.col("event_type") != "error").alias("ok")), "user_id")
+    return control.overall_status(_statuses(spark, d), "job")
+
+
+@query(f"WITH {_JOBS} SELECT job, CASE WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_or(status IN ('completed', 'partial')) THEN 'partial' ELSE 'failed' END AS status, count(*) AS n_parts FROM p GROUP BY 1")
+def native_status_rollup(spark, d):
+    return control.native_status(_statuses(spark, d), "job")
 
 
 @query("SELECT n_name AS feature, r_name AS grp, (n_nationkey % 3 = 0)::INT AS available FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -281,12 +321,14 @@ def detection_nms(spark, d):
     return frames.nms(t.boxes(spark, d))
 
 
-@query(f"WITH {t.PATCH}, u AS (SELECT media_id, frame_index, unnest(patch) AS v FROM patches), p AS (SELECT media_id, frame_index, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi, avg(v) AS mean FROM u GROUP BY ALL) SELECT media_id, frame_index, round(lo, 4) AS p1, round(hi, 4) AS p99, round(CASE WHEN hi > lo THEN least(1, greatest(0, (mean - lo) / (hi - lo))) ELSE 0 END, 6) AS mean_depth FROM p")
+_DEPTH = f"{t.PATCH}, raw AS (SELECT media_id, frame_index, CASE WHEN frame_index % 9 = 0 THEN list_transform(patch, lambda v: 7) ELSE patch END AS patch FROM patches), u AS (SELECT media_id, frame_index, generate_subscripts(patch, 1) - 1 AS i, unnest(patch)::DOUBLE AS v FROM raw), p AS (SELECT media_id, frame_index, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM u GROUP BY ALL), z AS (SELECT u.media_id, u.frame_index, i, least(1, greatest(0, (v - lo) / (hi - lo))) AS z FROM u JOIN p USING (media_id, frame_index) WHERE hi - lo > greatest(1e-6, abs(hi) * 1e-6)), e AS (SELECT a.media_id, a.frame_index, count(*) FILTER (WHERE abs(b.z - a.z) > 0.15) / 112 AS edge_fraction FROM z a JOIN z b ON a.media_id = b.media_id AND a.frame_index = b.frame_index AND (b.i = a.i + 8 OR (b.i = a.i + 1 AND b.i % 8 <> 0)) GROUP BY ALL), s AS (SELECT media_id, frame_index, string_agg(round_even(z * 65535, 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS samples FROM z GROUP BY ALL)"
+
+
+@query(f"WITH {_DEPTH} SELECT media_id, frame_index, CASE WHEN samples IS NULL THEN 'DEPTH_DEGENERATE' ELSE 'ok' END AS verdict, round(lo, 4) AS low, round(hi, 4) AS high, samples, round(edge_fraction, 6) AS edge_fraction FROM p LEFT JOIN s USING (media_id, frame_index) LEFT JOIN e USING (media_id, frame_index)")
 def depth_normalize_p1_p99(spark, d):
-    u = t.patches(spark, d).select("media_id", "frame_index", F.explode("patch").alias("v"))
-    p = u.groupBy("media_id", "frame_index").agg(F.percentile("v", F.lit(0.01)).alias("lo"), F.percentile("v", F.lit(0.99)).alias("hi"), F.avg("v").alias("mean"))
-    depth = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean") - F.col("lo")) / (F.col("hi") - F.col("lo"))))).otherwise(0.0)
-    return p.select("media_id", "frame_index", F.round("lo", 4).alias("p1"), F.round("hi", 4).alias("p99"), F.round(depth, 6).alias("mean_depth"))
+    raw = t.patches(spark, d).withColumn("patch", F.when(F.col("frame_index") % 9 == 0, F.transform("patch", lambda v: F.lit(7))).otherwise(F.col("patch")))
+    out = depth.encode(raw.withColumn("raw", F.col("patch").cast("array<double>")), F.col("raw"), 8)
+    return out.select("media_id", "frame_index", "verdict", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"), F.round("edge_fraction", 6).alias("edge_fraction"))
 
 
 _CORR = "corr AS (SELECT a.media_id, (b.sample_index - a.sample_index)::BIGINT AS lag, sum(a.x * b.x) AS corr FROM sig a JOIN sig b ON a.media_id = b.media_id AND b.sample_index > a.sample_index AND b.sample_index <= a.sample_index + 8 GROUP BY ALL)"
@@ -331,10 +373,11 @@ def clip_fractions(spark, d):
     return r6(t.patches(spark, d).select("media_id", "frame_index", frames.share(p, lambda v: v >= 160).alias("blown"), frames.share(p, lambda v: v <= 95).alias("crushed")), "blown", "crushed")
 
 
-@query(f"WITH {_SHARP}, c AS (SELECT media_id, frame_index, avg((v >= 160)::INT) AS blown, avg((v <= 95)::INT) AS crushed FROM (SELECT media_id, frame_index, unnest(patch) AS v FROM patches) GROUP BY ALL) SELECT media_id, frame_index, concat_ws(',', CASE WHEN sharpness < 24000000 THEN 'soft_focus' END, CASE WHEN blown >= 0.018 THEN 'blown' END, CASE WHEN crushed >= 0.022 THEN 'crushed' END) AS flags FROM sharp JOIN c USING (media_id, frame_index)")
+@query(f"WITH {_SHARP}, c AS (SELECT media_id, frame_index, avg((v >= 160)::INT) AS blown, avg((v <= 95)::INT) AS crushed FROM (SELECT media_id, frame_index, unnest(patch) AS v FROM patches) GROUP BY ALL) SELECT media_id, frame_index, concat_ws(',', CASE WHEN sharpness < 24000000 THEN 'soft_focus' END, CASE WHEN (frame_index * 13 % 100) / 10000 >= 0.0065 THEN 'severe_shake' END, CASE WHEN blown >= 0.018 THEN 'blown_highlights' END, CASE WHEN crushed >= 0.022 THEN 'crushed_shadows' END, CASE WHEN frame_index % 5 = 4 THEN 'near_duplicate' END) AS flags FROM sharp JOIN c USING (media_id, frame_index)")
 def quality_flags(spark, d):
     p = F.col("patch")
-    flags = frames.quality_flags(F.col("sharpness"), frames.share(p, lambda v: v >= 160), frames.share(p, lambda v: v <= 95), 24_000_000)
+    shake, copy_of = F.col("frame_index") * 13 % 100 / 10000, F.when(F.col("frame_index") % 5 == 4, F.lit(0))
+    flags = frames.quality_flags(F.col("sharpness"), shake, frames.share(p, lambda v: v >= 160), frames.share(p, lambda v: v <= 95), copy_of, 24_000_000)
     return _sharpness(spark, d).select("media_id", "frame_index", flags.alias("flags"))
 
 

@@ -47,7 +47,14 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def motion_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signal(spark, sf_dir).select("media_id", (F.col("sample_index") * 2).alias("start_frame"), (F.col("value") / 10000).alias("magnitude"), ((F.col("event_id") % 628) / 100 - 3.14).alias("direction"), ((F.col("event_id") * 7 % 100) / 100).alias("coherence"))
+    return signal(spark, sf_dir).select("media_id", (F.col("sample_index") * 2).alias("start_frame"), (F.col("value") / 10000).alias("magnitude"), ((F.col("event_id") % 628) / 100 - 3.14).alias("direction"), ((F.col("event_id") * 7 % 100) / 100).alias("coherence"), (1 + (F.col("event_id") % 41 - 20) / 2000).alias("scale"), ((F.col("event_id") % 97) / 10000).alias("residual"))
+
+
+def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of small frames: media_id, frame_index, i, r, g, b (0..255): the patch and its neighbours in reading order."""
+    w = Window.partitionBy("media_id", "frame_index").orderBy("i")
+    rows = patches(spark, sf_dir).select("media_id", "frame_index", F.posexplode("patch").alias("i", "r"))
+    return rows.withColumn("g", F.coalesce(F.lead("r", 1).over(w), F.col("r"))).withColumn("b", F.coalesce(F.lead("r", 2).over(w), F.col("r")))
 
 
 #: The adapters in SQL.
@@ -56,4 +63,5 @@ VAD = SIG + ", vad AS (SELECT media_id, sample_index AS window_index, sample_ind
 PATCH = "patches AS (SELECT label::BIGINT AS media_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_index, list_transform(embedding, lambda v: floor((v::DOUBLE + 1) * 127.5)::INT) AS patch, vec_id FROM embeddings)"
 SHOTS = "sized AS (SELECT conv_id AS media_id, turn::BIGINT AS shot_index, (length(text) // 10 + 1)::BIGINT AS n FROM conversations), shots AS (SELECT media_id, shot_index, (sum(n) OVER (PARTITION BY media_id ORDER BY shot_index))::BIGINT - n AS start_frame, (sum(n) OVER (PARTITION BY media_id ORDER BY shot_index))::BIGINT AS end_frame FROM sized)"
 BOXES = "boxes AS (SELECT l_orderkey::BIGINT AS media_id, l_linenumber::BIGINT AS frame, (row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_discount, l_tax) - 1)::INT AS det, 5 * l_discount::DOUBLE + 0.0 AS x, 6.25::DOUBLE * l_tax::DOUBLE + 0.0 AS y, l_quantity::DOUBLE / 100 AS w, (l_partkey % 50 + 1)::DOUBLE / 100 AS h, (l_suppkey * 13 % 100)::DOUBLE / 100 AS score FROM lineitem)"
-MOTION = SIG + ", pairs AS (SELECT media_id, sample_index * 2 AS start_frame, value / 10000 AS magnitude, (event_id % 628)::DOUBLE / 100 - 3.14::DOUBLE AS direction, (event_id * 7 % 100)::DOUBLE / 100 AS coherence FROM sig)"
+MOTION = SIG + ", pairs AS (SELECT media_id, sample_index * 2 AS start_frame, value / 10000 AS magnitude, (event_id % 628)::DOUBLE / 100 - 3.14::DOUBLE AS direction, (event_id * 7 % 100)::DOUBLE / 100 AS coherence, 1 + (event_id % 41 - 20)::DOUBLE / 2000 AS scale, (event_id % 97)::DOUBLE / 10000 AS residual FROM sig)"
+PIXELS = PATCH + ", px AS (SELECT media_id, frame_index, generate_subscripts(patch, 1) - 1 AS i, unnest(patch) AS r FROM patches), pixels AS (SELECT media_id, frame_index, i, r, coalesce(lead(r, 1) OVER w, r) AS g, coalesce(lead(r, 2) OVER w, r) AS b FROM px WINDOW w AS (PARTITION BY media_id, frame_index ORDER BY i))"
