@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from frametide.plans import registry
+from frametide.plans import catalogue as registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
