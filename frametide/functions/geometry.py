@@ -20,3 +20,10 @@ def clip(low: Column, size: Column) -> tuple[Column, Column]:
     start = F.least(F.greatest(low, F.lit(0.0)), F.lit(1.0))
     end = F.least(F.greatest(low + size, F.lit(0.0)), F.lit(1.0))
     return start, end - start
+
+
+def contained(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Share of ``a`` that lies in ``b``; null for a box without an area."""
+    wide = F.greatest(F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]), F.lit(0.0))
+    high = F.greatest(F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]), F.lit(0.0))
+    return F.try_divide(wide * high, a["w"] * a["h"])

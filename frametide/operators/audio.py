@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frametide.operators.folds import fold
+
 #: Speech threshold, shortest speech and shortest silence in seconds, silence floor, threshold parts of rhythm novelty, spread of a tempo.
 SPEECH_THRESHOLD, MIN_SPEECH, MIN_SILENCE = 0.5, 0.10, 0.15
 NOVELTY_FLOOR, NOVELTY_OF_MAX, NOVELTY_MADS, TEMPO_SPREAD = 0.001, 0.15, 4, 0.12
@@ -104,18 +104,19 @@ def merge_onsets(peaks: DataFrame, least_gap: float) -> DataFrame:
 def tempo_runs(events: DataFrame, min_bpm: float, max_bpm: float) -> DataFrame:
     """(media_id, run, start_sec, end_sec, n_intervals, bpm): three or more intervals in a row within 12 % of the first of them.
 
-    The first interval lies between the periods of both tempos. One media's events are one group.
+    The first interval lies between the periods of both tempos. A task holds one media's state, not its events.
     """
 
-    def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        sec = np.sort(rows["sec"].to_numpy())
-        gaps, run, period = np.round(np.diff(sec), 6), [], None
-        for i, gap in enumerate(gaps.tolist()):
-            if period is None or round(abs(gap / period - 1), 6) > TEMPO_SPREAD:
-                period, start = (gap, i) if 60 / max_bpm <= gap <= 60 / min_bpm else (None, None)
-            run.append(start)
-        return pd.DataFrame({"media_id": rows["media_id"].iloc[0], "run": pd.array(run, dtype="Int64"), "sec": sec[:-1], "until": sec[1:], "gap": gaps})
-
-    marked = events.select("media_id", "sec").groupBy("media_id").applyInPandas(mark, "media_id long, run long, sec double, until double, gap double").where("run is not null")
+    def step(state: dict, row: dict) -> list[tuple]:
+        before, state["sec"] = state["sec"], row["sec"]
+        if before is None:
+            return []
+        gap, state["i"] = round(row["sec"] - before, 6), state["i"] + 1
+        if state["period"] is None or round(abs(gap / state["period"] - 1), 6) > TEMPO_SPREAD:
+            fits = 60 / max_bpm <= gap <= 60 / min_bpm
+            state["period"], state["run"] = (gap, state["i"]) if fits else (None, None)
+        return [] if state["run"] is None else [(row["media_id"], state["run"], before, row["sec"], gap)]
+
+    marked = fold(events.select("media_id", "sec"), ["media_id"], ["sec"], lambda row: {"sec": None, "i": -1, "period": None, "run": None}, step, "media_id long, run long, sec double, until double, gap double")
     runs = marked.groupBy("media_id", "run").agg(F.min("sec").alias("start_sec"), F.max("until").alias("end_sec"), F.count("*").alias("n_intervals"), (60 / F.percentile("gap", F.lit(0.5))).alias("bpm"))
     return runs.where("n_intervals >= 3")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from frametide.functions.geometry import iou
+from frametide.operators.folds import by_group, fold
 
 #: Hash side and distance, clip levels, windows of motion pairs, suppression overlap and count, smoothing weight of the past.
 NEAR_DUPLICATE_BITS, CLIP_LOW, CLIP_HIGH, MOTION_WINDOW, NMS_IOU, NMS_MOST, EMA_WEIGHT = 6, 5, 250, 15, 0.45, 100, 0.65
@@ -21,8 +20,17 @@ WHIP_COHERENCE, HANDHELD_COHERENCE, HANDHELD_RESIDUAL = 0.42, 0.54, 0.0035
 
 
 def frames_to_shots(frames: DataFrame, shots: DataFrame) -> DataFrame:
-    """Each frame with the half-open shot that holds it; frames outside every shot go. An equi-join on the media, then the range."""
-    return frames.join(shots, "media_id").where((F.col("frame") >= F.col("start_frame")) & (F.col("frame") < F.col("end_frame")))
+    """Each frame with the half-open shot that holds it; frames outside every shot go.
+
+    Shots of a media do not overlap, so the shot is the last one that begins at or before the frame: frames and shot
+    starts are merged in one order, and no frame meets the other shots of its media.
+    """
+    begins = shots.select("media_id", F.col("start_frame").alias("_at"), F.lit(0).alias("_side"), F.struct("shot_index", "start_frame", "end_frame").alias("_shot"))
+    others = [c for c in frames.columns if c != "media_id"]
+    both = begins.withColumn("_row", F.lit(None).cast(frames.select(F.struct(*others)).schema[0].dataType)).unionByName(frames.select("media_id", F.col("frame").alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast("struct<shot_index:bigint,start_frame:bigint,end_frame:bigint>").alias("_shot"), F.struct(*others).alias("_row")))
+    w = Window.partitionBy("media_id").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    held = both.withColumn("_shot", F.last("_shot", True).over(w)).where("_side = 1 AND _shot IS NOT NULL AND _at < _shot.end_frame")
+    return held.select("media_id", "_row.*", "_shot.*")
 
 
 def timeline_faults(shots: DataFrame) -> DataFrame:
@@ -186,34 +194,35 @@ def quality_flags(sharpness: Column, shake: Column, blown: Column, crushed: Colu
     return F.concat_ws(",", F.when(sharpness < soft, "soft_focus"), F.when(shake >= SHAKE, "severe_shake"), F.when(blown >= BLOWN, "blown_highlights"), F.when(crushed >= CRUSHED, "crushed_shadows"), F.when(duplicate_of.isNotNull(), "near_duplicate"))
 
 
-def nms(boxes: DataFrame, least: float = NMS_IOU) -> DataFrame:
-    """Greedy suppression in each frame, by score, then by index, both descending. Groups are single frames."""
+def nms(boxes: DataFrame, least: float = NMS_IOU, most: int = NMS_MOST) -> DataFrame:
+    """Greedy suppression in each frame, by score, then by index, both descending; at most ``most`` boxes are kept, as the detector defines. Groups are single frames."""
+
+    def keep(rows: list[dict]) -> list[tuple]:
+        kept: list[dict] = []
+        for r in rows:
+            if len(kept) == most:
+                break
+            if all(overlap(k, r) <= least for k in kept):
+                kept.append(r)
+        return [(r["media_id"], r["frame"], r["det"], r["score"]) for r in kept]
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "det"], ascending=False)
-        x, y, w, h = (rows[c].to_numpy() for c in "xywh")
-        left, kept = np.arange(len(rows)), []
-        while len(left):
-            i, rest = left[0], left[1:]
-            kept.append(i)
-            both = np.maximum(0, np.minimum(x[i] + w[i], x[rest] + w[rest]) - np.maximum(x[i], x[rest])) * np.maximum(0, np.minimum(y[i] + h[i], y[rest] + h[rest]) - np.maximum(y[i], y[rest]))
-            left = rest[both <= least * (w[i] * h[i] + w[rest] * h[rest] - both)]
-        return rows.iloc[kept][["media_id", "frame", "det", "score"]]
+    def overlap(a: dict, b: dict) -> float:
+        wide = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
+        high = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
+        both = max(wide, 0.0) * max(high, 0.0)
+        union = a["w"] * a["h"] + b["w"] * b["h"] - both
+        return both / union if union > 0 else 0.0
 
-    counted = boxes.withColumn("_n", F.count("*").over(Window.partitionBy("media_id", "frame")))
-    alone = counted.where("_n = 1").select("media_id", "frame", "det", "score")  # nothing to suppress
-    return alone.union(counted.where("_n > 1").drop("_n").groupBy("media_id", "frame").applyInPandas(keep, "media_id long, frame long, det int, score double"))
+    ranked = boxes.select("media_id", "frame", "det", "score", "x", "y", "w", "h", (-F.col("score")).alias("_s"), (-F.col("det")).alias("_d"))
+    return by_group(ranked, ["media_id", "frame"], ["_s", "_d"], keep, "media_id long, frame long, det int, score double")
 
 
 def ema(series: DataFrame, value: str, weight: float = EMA_WEIGHT) -> DataFrame:
-    """Exponential smoothing of each media's series: the first value, then weight * smoothed + (1 - weight) * new."""
+    """Exponential smoothing of each shot's series: the first value, then weight * smoothed + (1 - weight) * new; it begins anew in every shot."""
 
-    def smooth(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("sample_index")
-        out, now = [], None
-        for v in rows[value]:
-            now = v if now is None else weight * now + (1 - weight) * v
-            out.append(now)
-        return pd.DataFrame({"media_id": rows["media_id"], "sample_index": rows["sample_index"], "smoothed": out})
+    def step(state: dict, row: dict) -> list[tuple]:
+        new = row[value]
+        state["now"] = new if state["now"] is None else weight * state["now"] + (1 - weight) * new
+        return [(row["media_id"], row["shot_index"], row["sample_index"], state["now"])]
 
-    return series.groupBy("media_id").applyInPandas(smooth, "media_id long, sample_index long, smoothed double")
+    return fold(series.select("media_id", "shot_index", "sample_index", value), ["media_id", "shot_index"], ["sample_index"], lambda row: {"now": None}, step, "media_id long, shot_index long, sample_index long, smoothed double")

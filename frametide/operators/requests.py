@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from frametide.operators.folds import fold
+
 #: Features by kind of media.
 VIDEO = ["shots", "subjects", "faces", "ocr", "motion", "quality", "exposure", "thumbnails", "audio", "waveform", "rhythm", "person_matte"]
 IMAGE = ["quality", "exposure", "saliency", "focus", "relative_depth", "visual_regions", "faces", "subjects", "ocr", "thumbnails"]
@@ -214,31 +216,24 @@ def cache_key(parts: list[Column]) -> Column:
 def begin_jobs(requests: DataFrame) -> DataFrame:
     """What the registry says to each request, in the order of ``at`` (unique in a key): ``conflict`` (another request has the key), ``replay`` (completed before), ``active`` (still running) or ``start``.
 
-    ``request_hash``, ``ended`` (time at which a started job completes; null: never, it failed at once) and ``redeliver`` are given. The first request binds a key for good, so the rule
-    needs the first hash of the key and the last started job only; the latter is found by a fold over the key's requests in order.
+    ``request_hash``, ``ended`` (time at which a started job completes; null: it fails at once) and ``redeliver`` are given. The first request binds a key for good. A task holds the state of one key.
     """
-    rows = requests.groupBy("idempotency_key").agg(F.array_sort(F.collect_list(F.struct("at", "request_hash", "ended", "redeliver"))).alias("calls"))
-    state = F.struct(F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("ends"), F.lit(False).alias("failed"), F.array().cast("array<struct<at:double,verdict:string>>").alias("said"))
-
-    def step(acc: Column, r: Column) -> Column:
-        done = acc["ends"].isNotNull() & (acc["ends"] <= r["at"])
-        verdict = (
-            F.when(acc["hash"].isNull(), "start")
-            .when(acc["hash"] != r["request_hash"], "conflict")
-            .when(done & ~r["redeliver"], "replay")
-            .when(~done & ~acc["failed"], "active")
-            .otherwise("start")
-        )
-        started = verdict == "start"
-        return F.struct(
-            F.coalesce(acc["hash"], r["request_hash"]).alias("hash"),
-            F.when(started, r["ended"]).otherwise(acc["ends"]).alias("ends"),
-            F.when(started, r["ended"].isNull()).otherwise(acc["failed"]).alias("failed"),
-            F.concat(acc["said"], F.array(F.struct(r["at"].alias("at"), verdict.alias("verdict")))).alias("said"),
-        )
-
-    said = F.aggregate("calls", state, step, lambda acc: acc["said"])
-    return rows.select("idempotency_key", F.explode(said).alias("s")).select("idempotency_key", "s.at", "s.verdict")
+
+    def step(job: dict, r: dict) -> list[tuple]:
+        done = job["ended"] is not None and job["ended"] <= r["at"]
+        if job["hash"] is not None and job["hash"] != r["request_hash"]:
+            verdict = "conflict"
+        elif job["hash"] is not None and done and not r["redeliver"]:
+            verdict = "replay"
+        elif job["hash"] is not None and not done and job["ended"] is not None:
+            verdict = "active"
+        else:
+            verdict = "start"
+            job.update(hash=r["request_hash"], ended=r["ended"])
+        return [(r["idempotency_key"], r["at"], verdict)]
+
+    kind = dict(requests.dtypes)["idempotency_key"]
+    return fold(requests.select("idempotency_key", "at", "request_hash", "ended", "redeliver"), ["idempotency_key"], ["at"], lambda row: {"hash": None, "ended": None}, step, f"idempotency_key {kind}, at double, verdict string")
 
 
 def prune_jobs(jobs: DataFrame, most: int = MAX_JOBS) -> DataFrame:

@@ -311,12 +311,13 @@ def model_manifest_antijoin(spark, d):
     return t.table(spark, d, "part").join(used, "p_partkey", "left_anti").select(F.col("p_partkey").cast("long").alias("model"))
 
 
-@query(f"WITH RECURSIVE {t.SIG}, e AS (SELECT media_id, sample_index, x AS s FROM sig WHERE sample_index = 0 UNION ALL SELECT g.media_id, g.sample_index, 0.65::DOUBLE * e.s + 0.35::DOUBLE * g.x FROM e JOIN sig g ON g.media_id = e.media_id AND g.sample_index = e.sample_index + 1) SELECT media_id, sample_index, round(s, 6) + 0.0 AS smoothed FROM e")
+@query(f"WITH RECURSIVE {t.SIG}, e AS (SELECT media_id, sample_index, x AS s FROM sig WHERE sample_index % 16 = 0 UNION ALL SELECT g.media_id, g.sample_index, 0.65::DOUBLE * e.s + 0.35::DOUBLE * g.x FROM e JOIN sig g ON g.media_id = e.media_id AND g.sample_index = e.sample_index + 1 AND g.sample_index % 16 <> 0) SELECT media_id, sample_index // 16 AS shot_index, sample_index, round(s, 6) + 0.0 AS smoothed FROM e")
 def ema_stabilized_series(spark, d):
-    return r6(frames.ema(t.signal(spark, d).select("media_id", "sample_index", "x"), "x"), "smoothed")
+    rows = t.signal(spark, d).select("media_id", F.floor(F.col("sample_index") / 16).alias("shot_index"), "sample_index", "x")
+    return r6(frames.ema(rows, "x"), "smoothed")
 
 
-@query()
+@query(f"WITH RECURSIVE {t.BOXES}, r AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame ORDER BY score DESC, det DESC) AS k FROM boxes), n AS (SELECT media_id, frame, k, [k] AS kept FROM r WHERE k = 1 UNION ALL SELECT r.media_id, r.frame, r.k, CASE WHEN EXISTS (SELECT 1 FROM r b WHERE b.media_id = r.media_id AND b.frame = r.frame AND list_contains(n.kept, b.k) AND {_IOU.replace('a.', 'r.')} > 0.45 * (r.w * r.h + b.w * b.h - {_IOU.replace('a.', 'r.')})) THEN n.kept ELSE list_append(n.kept, r.k) END FROM n JOIN r ON r.media_id = n.media_id AND r.frame = n.frame AND r.k = n.k + 1), l AS (SELECT media_id, frame, arg_max(kept, k) AS kept FROM n GROUP BY ALL) SELECT r.media_id, r.frame, det, score FROM r JOIN l ON l.media_id = r.media_id AND l.frame = r.frame AND list_contains(l.kept, r.k)")
 def detection_nms(spark, d):
     return frames.nms(t.boxes(spark, d))
 
@@ -431,13 +432,13 @@ def region_kind(spark, d):
     return tracks.region_kind(rows, rows.select("media_id").distinct().withColumn("n_frames", F.lit(3)))
 
 
-@query(f"WITH {t.BOXES}, tr AS (SELECT media_id, frame * 3 AS frame, min(x) AS x FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx FROM tr WINDOW w AS (PARTITION BY media_id ORDER BY frame)), g AS (SELECT *, unnest(range(frame + 1, nf)) AS f FROM n WHERE nf - frame <= 3) SELECT media_id, frame, round(x, 6) AS x, 'detected' AS kind FROM tr UNION ALL SELECT media_id, f, round(x + (nx - x) * (f - frame) / (nf - frame), 6), 'interpolated' FROM g")
+@query(f"WITH {t.BOXES}, tr AS (SELECT media_id, frame * 3 AS frame, min(x) AS x, min(y) AS y, max(w) AS w, max(h) AS h FROM boxes GROUP BY ALL), n AS (SELECT *, lead(frame) OVER k AS nf, lead(x) OVER k AS nx, lead(y) OVER k AS ny, lead(w) OVER k AS nw, lead(h) OVER k AS nh FROM tr WINDOW k AS (PARTITION BY media_id ORDER BY frame)), g AS (SELECT *, unnest(range(frame + 1, nf)) AS f FROM n WHERE nf - frame <= 3) SELECT media_id, frame, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, 'detected' AS kind FROM tr UNION ALL SELECT media_id, f, {_LERP}, 'interpolated' FROM g")
 def face_densify(spark, d):
-    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 3).alias("frame")).agg(F.min("x").alias("x"))
-    return r6(tracks.densify(track, 3), "x")
+    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 3).alias("frame")).agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("w").alias("w"), F.max("h").alias("h"))
+    return r6(tracks.densify(track, 3), "x", "y", "w", "h")
 
 
-@query(f"WITH {t.SHOTS}, f AS ({_PERIODIC}), p AS (SELECT DISTINCT media_id, (frame // 7) % 5 AS track, frame FROM f WHERE frame % 3 = 0) SELECT s.media_id, s.shot_index, count(DISTINCT track) AS persons, CASE WHEN count(DISTINCT track) = 0 THEN 'no_person' WHEN count(DISTINCT track) >= 2 THEN 'multiple_people' WHEN (s.end_frame - s.start_frame) / 25 >= 2 THEN 'talking_head' ELSE 'other' END AS label FROM shots s LEFT JOIN p ON p.media_id = s.media_id AND p.frame >= s.start_frame AND p.frame < s.end_frame GROUP BY s.media_id, s.shot_index, s.start_frame, s.end_frame")
+@query(f"WITH {t.SHOTS}, f AS ({_PERIODIC}), p AS (SELECT DISTINCT media_id, (frame // 7) % 5 AS track, frame FROM f WHERE frame % 3 = 0) SELECT s.media_id, s.shot_index, count(DISTINCT track) AS persons, CASE WHEN count(DISTINCT track) = 0 THEN 'no_person' WHEN count(DISTINCT track) >= 2 THEN 'multiple_people' WHEN (s.end_frame - s.start_frame) / 25 >= 2 THEN 'talking_head' ELSE 'other' END AS label, CASE count(DISTINCT track) WHEN 0 THEN 1.0 WHEN 1 THEN CASE WHEN (s.end_frame - s.start_frame) / 25 >= 2 THEN 0.4 ELSE 0.3 END WHEN 2 THEN 0.6 ELSE 0.7 END::DOUBLE AS score FROM shots s LEFT JOIN p ON p.media_id = s.media_id AND p.frame >= s.start_frame AND p.frame < s.end_frame GROUP BY s.media_id, s.shot_index, s.start_frame, s.end_frame")
 def shot_person_labels(spark, d):
     shots = t.shots(spark, d)
     people = frames.sample_periodic(shots, 7).where("frame % 3 = 0").select("media_id", (F.floor(F.col("frame") / 7) % 5).alias("track"), "frame")

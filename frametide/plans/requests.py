@@ -147,10 +147,10 @@ def request_hash_and_cache_key(spark, d):
     return _requests(spark, d).select("event_id", digest.alias("request_hash"), F.sha2(F.concat_ws("\x01", F.coalesce("sha256", F.lit("")), digest, F.lit("motion-v1"), F.col("kind")), 256).alias("cache_key"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT user_id AS idempotency_key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch(ts)::DOUBLE AS at, (event_id // 97 % 5 = 0)::INT AS h, CASE WHEN event_id % 6 = 0 THEN NULL ELSE epoch(ts) + value * 400 END AS ended, event_id % 3 = 0 AS redeliver FROM events),
-f AS (SELECT idempotency_key, k, at, 'start' AS verdict, h AS bound, ended AS ends, ended IS NULL AS failed FROM c WHERE k = 1 UNION ALL
-SELECT c.idempotency_key, c.k, c.at, v.verdict, f.bound, CASE WHEN v.verdict = 'start' THEN c.ended ELSE f.ends END, CASE WHEN v.verdict = 'start' THEN c.ended IS NULL ELSE f.failed END FROM f JOIN c ON c.idempotency_key = f.idempotency_key AND c.k = f.k + 1, LATERAL (SELECT CASE WHEN f.bound <> c.h THEN 'conflict' WHEN coalesce(f.ends <= c.at, false) AND NOT c.redeliver THEN 'replay' WHEN NOT coalesce(f.ends <= c.at, false) AND NOT f.failed THEN 'active' ELSE 'start' END AS verdict) v)
-SELECT idempotency_key, verdict, count(*) AS n, round(sum(at), 3) AS at FROM f GROUP BY ALL""")
+@query("""WITH RECURSIVE c AS (SELECT user_id AS idempotency_key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, epoch(ts)::DOUBLE AS tick, (event_id // 97 % 5 = 0)::INT AS h, CASE WHEN event_id % 6 = 0 THEN NULL ELSE epoch(ts) + value * 400 END AS ended, event_id % 3 = 0 AS redeliver FROM events),
+f AS (SELECT idempotency_key, k, tick, 'start' AS verdict, h AS bound, ended AS ends, ended IS NULL AS failed FROM c WHERE k = 1 UNION ALL
+SELECT c.idempotency_key, c.k, c.tick, v.verdict, f.bound, CASE WHEN v.verdict = 'start' THEN c.ended ELSE f.ends END, CASE WHEN v.verdict = 'start' THEN c.ended IS NULL ELSE f.failed END FROM f JOIN c ON c.idempotency_key = f.idempotency_key AND c.k = f.k + 1, LATERAL (SELECT CASE WHEN f.bound <> c.h THEN 'conflict' WHEN coalesce(f.ends <= c.tick, false) AND NOT c.redeliver THEN 'replay' WHEN NOT coalesce(f.ends <= c.tick, false) AND NOT f.failed THEN 'active' ELSE 'start' END AS verdict) v)
+SELECT idempotency_key, verdict, count(*) AS n, round(sum(tick), 3) AS "at" FROM f GROUP BY ALL""")
 def job_registry_verdicts(spark, d):
     e, at = F.col("event_id"), F.col("ts").cast("timestamp").cast("double")
     rows = t.table(spark, d, "events").select(F.col("user_id").alias("idempotency_key"), at.alias("at"), (F.floor(e / 97) % 5 == 0).cast("int").cast("string").alias("request_hash"), F.when(e % 6 != 0, at + F.col("value") * 400).alias("ended"), (e % 3 == 0).alias("redeliver"))
