@@ -1,6 +1,6 @@
 """All queries and their SQL: importing a module of queries registers them."""
 
-from frametide.plans import images, registry, requests, samplers
+from frametide.plans import association, images, registry, requests, samplers, spectral
 from frametide.plans.registry import ORACLES, QUERIES, flagship
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "images", "registry", "requests", "samplers"]
+__all__ = ["ORACLES", "QUERIES", "association", "flagship", "images", "registry", "requests", "samplers", "spectral"]
