@@ -27,3 +27,9 @@ def contained(a: dict[str, Column], b: dict[str, Column]) -> Column:
     wide = F.greatest(F.least(a["x"] + a["w"], b["x"] + b["w"]) - F.greatest(a["x"], b["x"]), F.lit(0.0))
     high = F.greatest(F.least(a["y"] + a["h"], b["y"] + b["h"]) - F.greatest(a["y"], b["y"]), F.lit(0.0))
     return F.try_divide(wide * high, a["w"] * a["h"])
+
+
+def map_box(value: Column, analysis_width: Column, analysis_height: Column, width: Column, height: Column) -> Column:
+    """A normalised coordinate of the analysed frame in the canonical frame: the same if the one is a uniform scale of the other, else null."""
+    positive = (F.least(analysis_width, analysis_height, width, height)) > 0
+    return F.when(positive & (F.abs(analysis_width / width - analysis_height / height) <= 1e-6), value)
