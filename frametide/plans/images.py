@@ -77,20 +77,20 @@ _MIRROR = lambda c: f"CASE WHEN {c} < 0 THEN -({c}) WHEN {c} > 7 THEN 14 - ({c})
 _BOX = f"{t.PATCH}, off AS (SELECT unnest(range(-2, 3)) AS o), nb AS (SELECT r.o AS dr, c.o AS dc FROM off r, off c)"
 
 
-@query(f"WITH {_BOX}, f AS (SELECT media_id, frame_index, i, avg(patch[({_MIRROR('i // 8 + dr')}) * 8 + ({_MIRROR('i % 8 + dc')}) + 1]) AS v FROM patches, (SELECT unnest(range(0, 64)) AS i), nb GROUP BY ALL) SELECT media_id, frame_index, i, round(v, 5) AS v FROM f WHERE media_id < 3")
+@query(f"WITH {_BOX}, f AS (SELECT media_id, frame_index, i, avg(patch[({_MIRROR('i // 8 + dr')}) * 8 + ({_MIRROR('i % 8 + dc')}) + 1]) AS v FROM patches, (SELECT unnest(range(0, 64)) AS i), nb GROUP BY ALL) SELECT media_id, frame_index, i, round(v, 5) AS v FROM f")
 def box_filtered(spark, d):
-    rows = images.box_filter(t.patches(spark, d).where("media_id < 3").select("media_id", "frame_index", F.col("patch").cast("array<double>").alias("patch")), "patch", 8, 2)
+    rows = images.box_filter(t.patches(spark, d).select("media_id", "frame_index", F.col("patch").cast("array<double>").alias("patch")), "patch", 8, 2)
     return rows.select("media_id", "frame_index", F.posexplode("filtered").alias("i", "v")).withColumn("i", F.col("i").cast("long")).withColumn("v", F.round("v", 5))
 
 
-@query(f"""WITH RECURSIVE {t.PATCH}, con AS (SELECT media_id, frame_index, i, patch[i + 1] % 60 + CASE WHEN frame_index % 7 = 0 THEN -60 ELSE 0 END AS c FROM patches, (SELECT unnest(range(0, 64)) AS i) WHERE media_id < 3),
+@query(f"""WITH RECURSIVE {t.PATCH}, con AS (SELECT media_id, frame_index, i, patch[i + 1] % 60 + CASE WHEN frame_index % 7 = 0 THEN -60 ELSE 0 END AS c FROM patches, (SELECT unnest(range(0, 64)) AS i)),
 pk AS (SELECT media_id, frame_index, max(c) AS peak FROM con GROUP BY ALL), m AS (SELECT con.media_id, con.frame_index, i, c, peak FROM con JOIN pk USING (media_id, frame_index) WHERE peak > 3 AND c >= greatest(3, peak * 0.45::DOUBLE)),
 e AS (SELECT a.media_id, a.frame_index, a.i AS u, b.i AS v FROM m a JOIN m b ON a.media_id = b.media_id AND a.frame_index = b.frame_index AND abs(a.i // 8 - b.i // 8) <= 1 AND abs(a.i % 8 - b.i % 8) <= 1),
 r AS (SELECT media_id, frame_index, i AS root, i AS v FROM m UNION SELECT r.media_id, r.frame_index, r.root, e.v FROM r JOIN e ON e.media_id = r.media_id AND e.frame_index = r.frame_index AND e.u = r.v),
 lab AS (SELECT media_id, frame_index, v AS i, min(root) AS label FROM r GROUP BY ALL), reg AS (SELECT media_id, frame_index, label, min(i % 8) / 8 AS x, min(i // 8) / 8 AS y, (max(i % 8) - min(i % 8) + 1) / 8 AS w, (max(i // 8) - min(i // 8) + 1) / 8 AS h, sum((i % 8 + 0.5) * c) / sum(c) / 8 AS px, sum((i // 8 + 0.5) * c) / sum(c) / 8 AS py, avg(c) / any_value(peak) AS score, sum(c) AS mass, count(*) AS area FROM lab JOIN m USING (media_id, frame_index, i) GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY media_id, frame_index ORDER BY mass DESC, label) AS k FROM reg WHERE area >= 2) SELECT media_id, frame_index, k - 1 AS region_index, round(x, 6) AS x, round(y, 6) AS y, round(w, 6) AS w, round(h, 6) AS h, round(px, 6) AS px, round(py, 6) AS py, round(score, 6) AS score, round(mass, 6) AS mass FROM k WHERE k <= 8""")
 def saliency_regions(spark, d):
-    rows = t.patches(spark, d).where("media_id < 3").select("media_id", "frame_index", F.transform("patch", lambda v: (v % 60 + F.when(F.col("frame_index") % 7 == 0, -60).otherwise(0)).cast("double")).alias("contrast"))
+    rows = t.patches(spark, d).select("media_id", "frame_index", F.transform("patch", lambda v: (v % 60 + F.when(F.col("frame_index") % 7 == 0, -60).otherwise(0)).cast("double")).alias("contrast"))
     rows = images.salient_regions(rows, 8).select("media_id", "frame_index", F.posexplode("regions").alias("region_index", "r")).select("media_id", "frame_index", F.col("region_index").cast("long").alias("region_index"), "r.*")
     return r6(rows, "x", "y", "w", "h", "px", "py", "score", "mass")
 

@@ -182,9 +182,9 @@ def camera_move_windows(spark, d):
     return r6(frames.camera_moves(frames.motion_windows(t.motion_pairs(spark, d))).select("media_id", "start_frame", "kind", "score"), "score")
 
 
-@query(f"WITH {t.MOTION}, {_WINDOWS}, {_MOVES}, q AS (SELECT *, coalesce(lag(k[1]) OVER w <> k[1] OR lag(end_frame) OVER w <> start_frame, true) AS fresh FROM moves WHERE (start_frame + media_id) % 7 <> 3 WINDOW w AS (PARTITION BY media_id ORDER BY start_frame)), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY media_id ORDER BY start_frame) AS run FROM q) SELECT media_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, min(k[1]) AS kind, round(avg(magnitude) + 1e-9, 5) AS magnitude, round(least(greatest(avg(k[2]::DOUBLE), 0), 1), 5) AS score FROM r GROUP BY media_id, run")
+@query(f"WITH {t.MOTION}, {_WINDOWS}, {_MOVES}, q AS (SELECT *, coalesce(lag(k[1]) OVER w <> k[1] OR lag(end_frame) OVER w <> start_frame, true) AS fresh FROM moves WINDOW w AS (PARTITION BY media_id ORDER BY start_frame)), r AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY media_id ORDER BY start_frame) AS run FROM q) SELECT media_id, min(start_frame) AS start_frame, max(end_frame) AS end_frame, min(k[1]) AS kind, round(avg(magnitude) + 1e-9, 5) AS magnitude, round(least(greatest(avg(k[2]::DOUBLE), 0), 1), 5) AS score FROM r GROUP BY media_id, run")
 def camera_move_rle(spark, d):
-    moves = frames.camera_moves(frames.motion_windows(t.motion_pairs(spark, d))).where((F.col("start_frame") + F.col("media_id")) % 7 != 3)  # windows that are missing end a run
+    moves = frames.camera_moves(frames.motion_windows(t.motion_pairs(spark, d)))
     return frames.camera_runs(moves).withColumns({"magnitude": F.round(F.col("magnitude") + 1e-9, 5), "score": F.round("score", 5)})
 
 
@@ -284,10 +284,10 @@ def label_precision_recall(spark, d):
 def _statuses(spark, d):
     kind = F.col("event_type")
     status = F.when(kind == "view", "completed").when(kind == "error", "failed").when(kind == "click", "partial").otherwise("unavailable")
-    return t.table(spark, d, "events").where("user_id % 5 <> 0 OR event_type = 'view'").select((F.col("user_id") * 1000 + F.floor(F.col("event_id") / 40)).alias("job"), status.alias("status"))
+    return t.table(spark, d, "events").select((F.col("user_id") * 1000 + F.floor(F.col("event_id") / 40)).alias("job"), status.alias("status"))
 
 
-_JOBS = "p AS (SELECT user_id * 1000 + event_id // 40 AS job, CASE event_type WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'unavailable' END AS status FROM events WHERE user_id % 5 <> 0 OR event_type = 'view')"
+_JOBS = "p AS (SELECT user_id * 1000 + event_id // 40 AS job, CASE event_type WHEN 'view' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'partial' ELSE 'unavailable' END AS status FROM events)"
 
 
 @query(f"WITH {_JOBS} SELECT job, CASE WHEN bool_and(status = 'completed') THEN 'completed' WHEN bool_or(status = 'failed') AND NOT bool_or(status = 'completed') THEN 'failed' ELSE 'partial' END AS status, count(*) AS n_parts FROM p GROUP BY 1")
