@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def nearest_rank(rows: DataFrame, key: str, value: str, order: list[str], q: float) -> DataFrame:
-    """The value at rank int(n * q + 0.999999), at least 1, of each key."""
+def _ranked(rows: DataFrame, key: str, value: str, place: Column) -> DataFrame:
+    """The value at the one-based rank ``place`` (of ``_n``, the rows of the key) of each key: rows are counted by value first, so what is sorted are the distinct values."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(key)
-    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value, *order)))
-    return ranked.where(F.col("_r") == F.greatest(F.lit(1), F.floor(F.col("_n") * q + 0.999999))).select(key, F.col(value))
+    counts = counts.withColumn("_n", F.sum("_c").over(w)).withColumn("_upto", F.sum("_c").over(w.orderBy(value))).withColumn("_r", place)
+    return counts.where((F.col("_r") <= F.col("_upto")) & (F.col("_r") > F.col("_upto") - F.col("_c"))).select(key, F.col(value))
+
+
+def nearest_rank(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
+    """The value at rank int(n * q + 0.999999), at least 1, of each key."""
+    return _ranked(rows, key, value, F.greatest(F.lit(1), F.floor(F.col("_n") * q + 0.999999)))
 
 
 def prune(entries: DataFrame, now: Column, ttl_days: int, budget: Column, group: str) -> DataFrame:
@@ -65,11 +71,9 @@ def native_status(parts: DataFrame, key: str) -> DataFrame:
     return parts.groupBy(key).agg(status.alias("status"), F.count("*").alias("n_parts"))
 
 
-def rounded_rank(rows: DataFrame, key: str, value: str, order: list[str], q: float) -> DataFrame:
+def rounded_rank(rows: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """The value at the zero-based rank (n - 1) * q of each key, rounded half to even."""
-    w = Window.partitionBy(key)
-    ranked = rows.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(value, *order)) - 1)
-    return ranked.where(F.col("_r") == F.bround((F.col("_n") - 1) * q)).select(key, F.col(value))
+    return _ranked(rows, key, value, F.bround((F.col("_n") - 1) * q) + 1)
 
 
 def loudness_report(reports: DataFrame, text: str) -> DataFrame:

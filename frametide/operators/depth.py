@@ -34,7 +34,7 @@ def encode(maps: DataFrame, raw: Column, width: int) -> DataFrame:
     right = F.filter(F.sequence(F.lit(0), n - 2), lambda i: ((i + 1) % width != 0) & (F.abs(z[i + 1] - z[i]) > EDGE))
     down = F.filter(F.sequence(F.lit(0), F.greatest(n - width - 1, F.lit(0))), lambda i: (i + width < n) & (F.abs(F.get(z, i + width) - z[i]) > EDGE))
     edges = (F.size(right) + F.size(down)) / F.greatest(F.lit(1), (width - 1) * height + (height - 1) * width)
-    return out.withColumn("samples", F.transform(z, lambda v: F.bround(v * NEAR).cast("int"))).withColumn("edge_fraction", F.when(z.isNotNull(), edges)).drop("_ranked", "_z")
+    return out.withColumn("samples", F.transform(z, lambda v: F.bround(F.round(v * NEAR, 6)).cast("int"))).withColumn("edge_fraction", F.when(z.isNotNull(), edges)).drop("_ranked", "_z")
 
 
 def suitability(width: Column, height: Column, channels: list[tuple[Column, Column]]) -> Column:

@@ -70,11 +70,12 @@ def signature(images: DataFrame) -> DataFrame:
 def appearance_cut(previous: Column, current: Column) -> Column:
     """Whether two grey images of one size look like a hard cut: a large mean difference, or a middling one with unlike histograms (Bhattacharyya)."""
     difference = F.aggregate(F.zip_with(previous, current, lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / F.size(current) / 255
+    difference = F.round(difference, 9)
     bins = F.sequence(F.lit(0), F.lit(HISTOGRAM_BINS - 1))
     counts = lambda a: F.transform(bins, lambda k: F.size(F.filter(a, lambda v: F.floor(v * HISTOGRAM_BINS / 256) == k)).cast("double"))
     shared = F.aggregate(F.zip_with(counts(previous), counts(current), lambda a, b: F.sqrt(a * b)), F.lit(0.0), lambda s, x: s + x)
     distance = F.sqrt(F.greatest(F.lit(0.0), 1 - shared / F.sqrt(F.size(previous).cast("double") * F.size(current))))
-    return F.when(difference > CUT, True).when(difference <= SAME, False).otherwise(distance > HISTOGRAM_CUT)
+    return F.when(difference > CUT, True).when(difference <= SAME, False).otherwise(F.round(distance, 9) > HISTOGRAM_CUT)
 
 
 # ---------------------------------------------------------------- stencil kernels

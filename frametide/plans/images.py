@@ -57,18 +57,26 @@ _COPIED = f"{_SIGNATURE}, cp AS (SELECT media_id, frame_index, CASE WHEN frame_i
 
 @query(f"WITH {_COPIED}, pr AS (SELECT b.media_id, b.shot_index, a.shot_index AS earlier, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2]))) AS h, abs(a.luma - b.luma) AS l, sqrt(pow(a.r - b.r, 2) + pow(a.g - b.g, 2) + pow(a.b - b.b, 2)) AS c FROM sh a JOIN sh b ON a.media_id = b.media_id AND a.shot_index < b.shot_index), s AS (SELECT *, ((1 - h / 64) + (1 - least(1, l / 0.08 + c / 0.12 / 2))) / 2 AS score FROM pr WHERE h <= 6 AND l <= 0.08 AND c <= 0.12), k AS (SELECT *, row_number() OVER (PARTITION BY media_id, shot_index ORDER BY round(score, 9) DESC, earlier) AS k FROM s) SELECT sh.media_id, sh.shot_index, earlier AS duplicate_of, round(score, 6) AS score FROM sh LEFT JOIN k ON k.media_id = sh.media_id AND k.shot_index = sh.shot_index AND k.k = 1")
 def duplicate_shots(spark, d):
+    return r6(tracks.earlier_copy(_copied(spark, d)), "score")
+
+
+def _copied(spark, d):
     s = images.signature(_images(spark, d)).select("media_id", F.col("frame_index").alias("source"), "bits", "luma", F.col("mean_r").alias("r"), F.col("mean_g").alias("g"), F.col("mean_b").alias("b"))
     rows = t.patches(spark, d).select("media_id", F.col("frame_index").alias("shot_index")).withColumn("source", F.when(F.col("shot_index") % 4 == 3, F.col("shot_index") - 3).otherwise(F.col("shot_index")))
     gap = F.col("shot_index") - F.col("source")
     rows = rows.join(s, ["media_id", "source"]).withColumn("bits", F.transform("bits", lambda v, i: F.when((gap > 0) & ((F.col("shot_index") * 7 + i) % 23 == 0), 1 - v).otherwise(v)))
-    rows = rows.withColumn("luma", F.col("luma") + gap * F.lit(0.001)).withColumn("g", F.col("g") + gap * F.lit(0.002)).drop("source")
-    return r6(tracks.earlier_copy(rows), "score")
+    return rows.withColumn("luma", F.col("luma") + gap * F.lit(0.001)).withColumn("g", F.col("g") + gap * F.lit(0.002)).drop("source")
+
+
+@query(f"WITH {_COPIED} SELECT a.media_id, a.shot_index AS frame_a, b.shot_index AS frame_b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance FROM sh a JOIN sh b ON a.media_id = b.media_id AND a.shot_index < b.shot_index WHERE list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2]))) <= 6")
+def hamming_pairs(spark, d):
+    return tracks.near_hashes(_copied(spark, d).select("media_id", F.col("shot_index").alias("frame_index"), "bits"), 6, 7)
 
 
-@query(f"WITH {_WIDE}, w AS (SELECT media_id, frame_index, i, CASE WHEN frame_index % 3 = 0 THEN r ELSE 128 + (r - 128) // 2 END AS v FROM wide), n AS (SELECT b.media_id, b.frame_index, avg(abs(b.v - a.v)) / 255 AS diff FROM w a JOIN w b ON a.media_id = b.media_id AND b.frame_index = a.frame_index + 1 AND a.i = b.i GROUP BY ALL), bins AS (SELECT media_id, frame_index, v * 32 // 256 AS bin, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT b.media_id, b.frame_index, sum(sqrt(a.n * b.n)) AS shared FROM bins a JOIN bins b ON a.media_id = b.media_id AND b.frame_index = a.frame_index + 1 AND a.bin = b.bin GROUP BY ALL) SELECT media_id, frame_index, CASE WHEN diff > 0.22 THEN true WHEN diff <= 0.08 THEN false ELSE sqrt(greatest(0, 1 - coalesce(shared, 0) / 64)) > 0.6 END AS cut FROM n LEFT JOIN h USING (media_id, frame_index)")
+@query(f"WITH {_WIDE}, w AS (SELECT media_id, frame_index, i, CASE WHEN frame_index % 3 = 0 THEN r ELSE 64 + r // 2 END AS v FROM wide), n AS (SELECT b.media_id, b.frame_index, avg(abs(b.v - a.v)) / 255 AS diff FROM w a JOIN w b ON a.media_id = b.media_id AND b.frame_index = a.frame_index + 1 AND a.i = b.i GROUP BY ALL), bins AS (SELECT media_id, frame_index, v * 32 // 256 AS bin, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT b.media_id, b.frame_index, sum(sqrt(a.n * b.n)) AS shared FROM bins a JOIN bins b ON a.media_id = b.media_id AND b.frame_index = a.frame_index + 1 AND a.bin = b.bin GROUP BY ALL) SELECT media_id, frame_index, CASE WHEN round(diff, 9) > 0.22 THEN true WHEN round(diff, 9) <= 0.08 THEN false ELSE round(sqrt(greatest(0, 1 - coalesce(shared, 0) / 64)), 9) > 0.6 END AS cut FROM n LEFT JOIN h USING (media_id, frame_index)")
 def appearance_cuts(spark, d):
     w = t.Window.partitionBy("media_id").orderBy("frame_index")
-    rows = _wide(spark, d).select("media_id", "frame_index", F.transform("r", lambda v: F.when(F.col("frame_index") % 3 == 0, v).otherwise(128 + ((v - 128) / 2 - F.when((v < 128) & ((v - 128) % 2 != 0), 0.5).otherwise(F.when((v - 128) % 2 != 0, 0.5).otherwise(0.0))).cast("int"))).alias("v"))
+    rows = _wide(spark, d).select("media_id", "frame_index", F.transform("r", lambda v: F.when(F.col("frame_index") % 3 == 0, v).otherwise((64 + F.floor(v / 2)).cast("int"))).alias("v"))
     rows = rows.withColumn("before", F.lag("v").over(w)).where("before is not null")
     return rows.select("media_id", "frame_index", images.appearance_cut(F.col("before"), F.col("v")).alias("cut"))
 

@@ -225,7 +225,7 @@ def palette_topk(spark, d):
 @query("WITH e AS (SELECT event_type AS stage, floor(value)::BIGINT AS duration_ms, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) AS r FROM events) SELECT stage, duration_ms FROM e WHERE r = greatest(1, floor(n * 0.95 + 0.999999))")
 def stage_latency_nearest_rank(spark, d):
     e = t.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("duration_ms"), "event_id")
-    return control.nearest_rank(e, "stage", "duration_ms", ["event_id"], 0.95)
+    return control.nearest_rank(e, "stage", "duration_ms", 0.95)
 
 
 @query("WITH b AS (SELECT o_custkey, floor(sum(floor(o_totalprice)) / 2) AS budget FROM orders GROUP BY 1), e AS (SELECT o_custkey, o_orderkey::BIGINT AS key, floor(o_totalprice)::BIGINT AS size, budget, sum(floor(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, floor(o_totalprice) DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING) AS s FROM orders JOIN b USING (o_custkey)) SELECT o_custkey::BIGINT AS cache, key, size FROM e WHERE s <= budget")
@@ -322,7 +322,7 @@ def detection_nms(spark, d):
     return frames.nms(t.boxes(spark, d))
 
 
-_DEPTH = f"{t.PATCH}, raw AS (SELECT media_id, frame_index, CASE WHEN frame_index % 9 = 0 THEN list_transform(patch, lambda v: 7) ELSE patch END AS patch FROM patches), u AS (SELECT media_id, frame_index, generate_subscripts(patch, 1) - 1 AS i, unnest(patch)::DOUBLE AS v FROM raw), p AS (SELECT media_id, frame_index, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM u GROUP BY ALL), z AS (SELECT u.media_id, u.frame_index, i, least(1, greatest(0, (v - lo) / (hi - lo))) AS z FROM u JOIN p USING (media_id, frame_index) WHERE hi - lo > greatest(1e-6, abs(hi) * 1e-6)), e AS (SELECT a.media_id, a.frame_index, count(*) FILTER (WHERE abs(b.z - a.z) > 0.15) / 112 AS edge_fraction FROM z a JOIN z b ON a.media_id = b.media_id AND a.frame_index = b.frame_index AND (b.i = a.i + 8 OR (b.i = a.i + 1 AND b.i % 8 <> 0)) GROUP BY ALL), s AS (SELECT media_id, frame_index, string_agg(round_even(z * 65535, 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS samples FROM z GROUP BY ALL)"
+_DEPTH = f"{t.PATCH}, raw AS (SELECT media_id, frame_index, CASE WHEN frame_index % 9 = 0 THEN list_transform(patch, lambda v: 7) ELSE patch END AS patch FROM patches), u AS (SELECT media_id, frame_index, generate_subscripts(patch, 1) - 1 AS i, unnest(patch)::DOUBLE AS v FROM raw), p AS (SELECT media_id, frame_index, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM u GROUP BY ALL), z AS (SELECT u.media_id, u.frame_index, i, least(1, greatest(0, (v - lo) / (hi - lo))) AS z FROM u JOIN p USING (media_id, frame_index) WHERE hi - lo > greatest(1e-6, abs(hi) * 1e-6)), e AS (SELECT a.media_id, a.frame_index, count(*) FILTER (WHERE abs(b.z - a.z) > 0.15) / 112 AS edge_fraction FROM z a JOIN z b ON a.media_id = b.media_id AND a.frame_index = b.frame_index AND (b.i = a.i + 8 OR (b.i = a.i + 1 AND b.i % 8 <> 0)) GROUP BY ALL), s AS (SELECT media_id, frame_index, string_agg(round_even(round(z * 65535, 6), 0)::BIGINT::VARCHAR, ',' ORDER BY i) AS samples FROM z GROUP BY ALL)"
 
 
 @query(f"WITH {_DEPTH} SELECT media_id, frame_index, CASE WHEN samples IS NULL THEN 'DEPTH_DEGENERATE' ELSE 'ok' END AS verdict, round(lo, 4) AS low, round(hi, 4) AS high, samples, round(edge_fraction, 6) AS edge_fraction FROM p LEFT JOIN s USING (media_id, frame_index) LEFT JOIN e USING (media_id, frame_index)")
@@ -445,13 +445,6 @@ def shot_person_labels(spark, d):
     return tracks.shot_labels(shots, people, 25.0)
 
 
-@query(f"WITH {_HASH} SELECT a.media_id, a.frame_index AS frame_a, b.frame_index AS frame_b, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2])))::BIGINT AS distance FROM hs a JOIN hs b ON a.media_id = b.media_id AND a.frame_index < b.frame_index WHERE list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: abs(z[1] - z[2]))) <= 18")
-def hamming_pairs(spark, d):
-    """The test patches are noise, so the distance is wider than the one of near duplicates."""
-    h = t.patches(spark, d).select("media_id", "frame_index", frames.average_hash(F.col("patch")).alias("bits"))
-    return tracks.near_hashes(h, 18, 19)
-
-
 def _crowded(spark, d):
     """Detections of eight orders as one shot, a frame for every fifth of their lines."""
     w = t.Window.partitionBy("media_id", "frame").orderBy("_order", "det")
@@ -500,7 +493,7 @@ def map_parity(spark, d):
 @query("WITH e AS (SELECT event_type AS stage, floor(value)::BIGINT AS duration_ms, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY floor(value), event_id) - 1 AS r FROM events) SELECT stage, duration_ms FROM e WHERE r = round_even((n - 1) * 0.95::DOUBLE, 0)")
 def benchmark_percentile(spark, d):
     e = t.table(spark, d, "events").select(F.col("event_type").alias("stage"), F.floor("value").alias("duration_ms"), "event_id")
-    return control.rounded_rank(e, "stage", "duration_ms", ["event_id"], 0.95)
+    return control.rounded_rank(e, "stage", "duration_ms", 0.95)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN round(-value / 10, 1) END AS integrated_lufs, round(-value / 100, 1) AS true_peak_db FROM events")
@@ -514,5 +507,5 @@ def loudness_report_parse(spark, d):
 @query(f"WITH {t.BOXES} SELECT media_id, count(DISTINCT frame) + coalesce((SELECT sum(greatest(0, (nf - f * 10 - 1) // 4)) FROM (SELECT media_id AS m, frame AS f, lead(frame * 10) OVER (PARTITION BY media_id ORDER BY frame) AS nf FROM (SELECT DISTINCT media_id, frame FROM boxes)) q WHERE q.m = boxes.media_id), 0)::BIGINT AS n_samples, round(avg(x), 6) AS score FROM (SELECT media_id, frame, min(x) AS x FROM boxes GROUP BY ALL) boxes GROUP BY media_id")
 def track_aggregate_score(spark, d):
     """Filled samples count, but only detected ones score."""
-    track = t.boxes(spark, d).groupBy("media_id", (F.col("frame") * 10).alias("frame")).agg(F.min("x").alias("x"))
-    return r6(frames.gap_fill(track, 4).groupBy("media_id").agg(F.count("*").alias("n_samples"), F.avg(F.when(F.col("kind") == "detector", F.col("x"))).alias("score")), "score")
+    filled = frames.gap_fill(_track(spark, d), 4, F.lit(False))
+    return r6(filled.groupBy("media_id").agg(F.count("*").alias("n_samples"), F.avg(F.when(F.col("kind") == "detected", F.col("x"))).alias("score")), "score")

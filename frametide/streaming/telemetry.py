@@ -29,7 +29,11 @@ def first_requests(requests: DataFrame, late: str) -> DataFrame:
 def drain(stream: DataFrame) -> DataFrame:
     """Run a stream over all that is there now, into a table in the folder that all executors share."""
     spark = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp()
     path = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start(f"{path}/rows").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
