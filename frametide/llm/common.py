@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels hold at once (a longer single text is one block of its own).
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 20
 #: Spark's setting that drops an execution's shuffle files at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

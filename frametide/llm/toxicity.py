@@ -3,7 +3,7 @@
 A word is the mean of the vectors of its character n-grams (and of itself), hashed into a fixed table, so an
 unseen misspelling shares most of its vectors with the word it disguises. Words are averaged over
 windows of a text, and the text's score is that of its most toxic window: a single average over a
-long text would drown a few insults. Embeddings and softmax weights are trained together (Adagrad); as both classes'
+long text would drown a few insults. Embeddings and softmax weights are trained together, from noise; as both classes'
 logits are linear in the average, scoring needs one number per n-gram.
 
 Null and empty texts have no words and get the score of an empty average (the prior). Repeated rows are scored alike. At most
@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS, DIM, WINDOW, GRAMS = 1 << 20, 16, 200, (3, 4, 5, 6)
+BUCKETS, DIM, WINDOW, GRAMS = 1 << 20, 16, 25, (3, 4, 5, 6)
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 #: Distinct words whose scores a task keeps.
 CACHE_WORDS = 300_000
@@ -51,22 +51,29 @@ class Model:
     shift: float
 
 
-class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+class WordScores(dict):
+    """Distinct words' parts of the logit, computed when they are first asked for."""
 
-    def _word(self, word: str) -> float:
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        self.cache[word] = out = float(self.model.gram[subwords(word)].mean())
+    def __init__(self, gram: np.ndarray):
+        super().__init__()
+        self.gram = gram
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        self[word] = out = float(self.gram[subwords(word)].mean())
         return out
 
+
+class Scorer:
+    def __init__(self, model: Model):
+        self.model, self.words = model, WordScores(model.gram)
+
     def logit(self, text: str | None) -> float:
         words = words_of(text)
         if not words:
             return self.model.bias
-        known = self.cache
-        parts = np.array([known[w] if w in known else self._word(w) for w in words])
+        parts = np.fromiter(map(self.words.__getitem__, words), float, len(words))
         starts = np.arange(0, len(parts), WINDOW)
         return float((np.add.reduceat(parts, starts) / np.minimum(WINDOW, len(parts) - starts)).max()) + self.model.bias
 
@@ -75,11 +82,13 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(texts: list[str], labels: list[int], *, rounds: int = 300, bootstrap: int = 20, rate: float = 0.5, sure: float = 3.0, min_docs: int = 3, gain: float = 64.0, seed: int = 7) -> Model:
+def fit(texts: list[str], labels: list[int], *, rounds: int = 100, bootstrap: int = 30, keep: float = 0.02, least_kept: int = 256, rate: float = 0.05, momentum: float = 0.9, decay: float = 1e-5, min_share: float = 0.01, least: int = 3, noise: float = 1e-2, seed: int = 7) -> Model:
     """Train on whole texts. First all windows carry their text's label; then each text counts by its most toxic window.
 
-    N-grams of fewer than ``min_docs`` texts, and those whose log odds are within ``sure`` standard errors of none, stay zero;
-    the others begin at what is beyond that. Steps are scaled by each table's own gradient sizes.
+    Every n-gram that is in ``min_share`` of the texts (and in ``least``) begins as noise and is trained jointly with the softmax weights, whatever its labels; rarer ones
+    could only be learnt by heart. An n-gram's part is divided by the root of its frequency, so that common ones do not drown the others. Gradient steps
+    have momentum and shrink with the largest gradient seen. After ``rounds`` steps only the share ``keep`` of the n-grams (``least_kept`` at least) that have learnt the strongest parts stays, and is
+    trained on for as many steps: the parts of the others are noise.
     """
     y = np.array(labels, dtype=float)
     vocabulary: dict[str, int] = {}
@@ -95,62 +104,64 @@ def fit(texts: list[str], labels: list[int], *, rounds: int = 300, bootstrap: in
         grams.extend(own)
     flat = np.frombuffer(grams, dtype=np.int32)
     starts = np.concatenate([[0], np.cumsum(n_subs)])
-    seen_in = np.zeros((2, BUCKETS))
-    for d, label in zip(docs, labels, strict=True):
+    seen = np.zeros(BUCKETS)
+    for d in docs:
         if len(d):
-            seen_in[int(label), np.unique(np.concatenate([flat[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
-    seen = seen_in.sum(axis=0)
-    odds = np.log((seen_in[1] + 1) / (y.sum() + 2)) - np.log((seen_in[0] + 1) / ((1 - y).sum() + 2))
-    odds = np.sign(odds) * np.maximum(0, np.abs(odds) - sure * np.sqrt(1 / (seen_in[1] + 1) + 1 / (seen_in[0] + 1)))
-    told = (seen >= min_docs) & (odds != 0)
-    place = np.cumsum(told) * told  # row of each n-gram that is used; row 0 stays zero
+            seen[np.unique(np.concatenate([flat[starts[w] : starts[w + 1]] for w in np.unique(d)]))] += 1
+    used = seen >= max(least, min_share * len(docs))
+    place = np.cumsum(used) * used  # row of each n-gram that is used; row 0 stays zero
     rows = int(place.max()) + 1
-    entries = np.flatnonzero(told[flat])  # the n-grams that count, and the words they stand in
+    entries = np.flatnonzero(used[flat])  # the n-grams that count, and the words they stand in
     gram_of, word_of = place[flat[entries]], (np.searchsorted(starts, entries, "right") - 1)
     del flat, grams, entries
+    white = np.concatenate([[0.0], 1 / np.sqrt(seen[used] / seen[used].mean())]) if used.any() else np.zeros(1)
     tokens = np.concatenate(docs)
     lengths = np.array([len(d) for d in docs])
     doc_start = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     w_start = np.concatenate([s + np.arange(0, n, WINDOW) for s, n in zip(doc_start, lengths, strict=True)]).astype(np.int64)
-    w_doc = np.repeat(np.arange(len(docs)), -(-lengths // WINDOW))
+    n_windows = -(-lengths // WINDOW)
+    w_doc = np.repeat(np.arange(len(docs)), n_windows)
     w_len = np.minimum(WINDOW, (doc_start + lengths)[w_doc] - w_start)
     token_w = np.repeat(np.arange(len(w_start)), w_len)
     have = np.unique(w_doc)
     w_first = np.searchsorted(w_doc, have)
     rng = np.random.default_rng(seed)
-    # The vectors begin as noise plus, along u, the part of the log odds that is beyond chance.
     u, bias = rng.normal(0, 1, DIM), 0.0  # u: difference of the two classes' softmax weights
     u /= np.linalg.norm(u)
-    e = rng.uniform(-1e-2, 1e-2, (rows, DIM))
-    e[place[told]] += np.outer(odds[told], u)
+    e = rng.uniform(-noise, noise, (rows, DIM))
     e[0] = 0
-    ge, gu, gb = 1e-12, 1e-12, 1e-12
     balance = np.where(y == 1, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    z = np.zeros(len(w_start))
-    for step in range(bootstrap + rounds + 1):
-        part = gain * np.bincount(word_of, weights=(e @ u)[gram_of], minlength=len(n_subs)) / n_subs  # a word's mean of its n-grams' parts of the logit
-        z = np.add.reduceat(part[tokens], w_start) / w_len + bias
-        if step == bootstrap + rounds:
-            break
-        weight = np.zeros(len(z))
-        if step < bootstrap:
-            weight[:] = balance[w_doc] / -(-lengths // WINDOW)[w_doc]
-        else:
-            best = np.lexsort((-z, w_doc))[w_first]
-            weight[best] = balance[w_doc[best]]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[w_doc]) * weight
-        of_word = np.bincount(tokens, weights=(error / w_len)[token_w], minlength=len(n_subs))
-        of_gram = gain * np.bincount(gram_of, weights=(of_word / n_subs)[word_of], minlength=rows)
-        of_gram[0] = 0
-        d_e, d_u, d_b = np.outer(of_gram, u), of_gram @ e, error.sum()
-        ge += (d_e**2).max()
-        gu += (d_u**2).max()
-        gb += d_b**2
-        e -= rate * d_e / np.sqrt(ge)
-        u -= rate * d_u / np.sqrt(gu)
-        bias -= rate * d_b / np.sqrt(gb)
+
+    def forward() -> np.ndarray:
+        part = WINDOW * np.bincount(word_of, weights=(white * (e @ u))[gram_of], minlength=len(n_subs)) / n_subs  # a word's mean of its n-grams' parts of the logit
+        return np.add.reduceat(part[tokens], w_start) / w_len + bias
+
+    for first in (bootstrap, 0):
+        m_e, m_u, size = np.zeros_like(e), np.zeros(DIM), 1e-12
+        for step in range(first + rounds):
+            z = forward()
+            weight = np.zeros(len(z))
+            if step < first:
+                weight[:] = balance[w_doc] / n_windows[w_doc]
+            else:
+                best = np.lexsort((-z, w_doc))[w_first]
+                weight[best] = balance[w_doc[best]]
+            error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[w_doc]) * weight
+            of_word = np.bincount(tokens, weights=(error / w_len)[token_w], minlength=len(n_subs))
+            of_gram = WINDOW * white * np.bincount(gram_of, weights=(of_word / n_subs)[word_of], minlength=rows)
+            d_e, d_u = np.outer(of_gram, u) + decay * e, of_gram @ e
+            m_e, m_u = momentum * m_e + (1 - momentum) * d_e, momentum * m_u + (1 - momentum) * d_u
+            size = max(size, float(np.sqrt((d_e**2).sum(axis=1).mean())))
+            e -= rate * m_e / size
+            u -= 0.1 * rate * m_u / (np.linalg.norm(d_u) + 1e-9)
+            bias -= error.sum()
+        if first:
+            strength = np.abs(e @ u) * (white > 0)
+            weak = np.argsort(-strength, kind="stable")[max(least_kept, int(keep * (rows - 1))) :]
+            white[weak] = 0.0
+    z = forward()
     scale, shift = _calibrate(np.maximum.reduceat(z, w_first), y[have])
-    return Model((gain * (e @ u))[place].astype(np.float32), float(bias), scale, shift)
+    return Model((WINDOW * white * (e @ u))[place].astype(np.float32), float(bias), scale, shift)
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:

@@ -199,7 +199,8 @@ def test_toxicity_scores_against_plain_loops(spark):
     for i, t in enumerate(rows):
         words = [w for w in re.findall(r"[^\W_]+", (t or "").lower())]
         parts = [float(np.mean([model.gram[g] for g in toxicity.subwords(w)])) for w in words]
-        means = [sum(parts[k : k + 200]) / len(parts[k : k + 200]) for k in range(0, len(parts), 200)]
+        n = toxicity.WINDOW
+        means = [sum(parts[k : k + n]) / len(parts[k : k + n]) for k in range(0, len(parts), n)]
         z = model.scale * ((max(means) if means else 0.0) + model.bias) + model.shift
         assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
 
@@ -258,3 +259,25 @@ def test_tables_go(spark):
         tables.keep(spark.range(3), "a")
         raise ValueError
     assert not [x for x in os.listdir(f"{shared_dir(spark)}/frametide") if x.startswith("gone")]
+
+
+def test_toxicity_generalises_to_misspellings():
+    """Misspellings that no training text holds: the words they disguise share character n-grams with them."""
+    rng = random.Random(3)
+    syllables = ["ba", "du", "fen", "gor", "hil", "jam", "kep", "lom", "mur", "nil", "pos", "ros", "tav"]
+    plain = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(400)]
+    insults = ["worthless", "pathetic", "disgusting", "horrible"]
+
+    def text(bad):
+        words = [rng.choice(plain) for _ in range(120)]
+        for _ in range(3 if bad else 0):
+            words[rng.randrange(120)] = rng.choice(bad)
+        return " ".join(words)
+
+    texts = [text(insults if i % 2 else None) for i in range(400)]
+    scorer = toxicity.Scorer(toxicity.fit(texts, [i % 2 for i in range(400)]))
+    disguised = ["worthles", "patheticc", "disgustingg", "horriblle", "pathetics", "worthlesss"]
+    assert not any(w in t.split() for t in texts for w in disguised)
+    caught = scorer.score([text(disguised) for _ in range(100)]) >= queries.THRESHOLD
+    clean = scorer.score([text(None) for _ in range(100)]) < queries.THRESHOLD
+    assert caught.mean() >= 0.9 and clean.mean() >= 0.9
