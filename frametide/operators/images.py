@@ -362,3 +362,32 @@ def outside_boxes(points: DataFrame, boxes: DataFrame, width: int, height: int)
     p, q = inner.alias("p"), b.alias("b")
     hit = (F.col("p.media_id") == F.col("b.media_id")) & (F.col("p.frame") == F.col("b.frame")) & (F.col("px") >= F.col("x0")) & (F.col("px") < F.col("x1")) & (F.col("py") >= F.col("y0")) & (F.col("py") < F.col("y1"))
     return p.join(q, hit, "left_anti")
+
+
+def warp(values: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
+    """``values`` read at each pixel's place plus its displacement: bilinear, edges repeated."""
+    h, w = values.shape
+    x = np.clip(np.arange(w)[None, :] + dx, 0, w - 1)
+    y = np.clip(np.arange(h)[:, None] + dy, 0, h - 1)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    tx, ty = x - x0, y - y0
+    return (values[y0, x0] * (1 - tx) + values[y0, x1] * tx) * (1 - ty) + (values[y1, x0] * (1 - tx) + values[y1, x1] * tx) * ty
+
+
+def warp_mattes(images: DataFrame, width: int, flow_width: int) -> DataFrame:
+    """``aligned``: the matte ``alpha`` of the frame before (``width`` wide) moved by a backward flow (``dx``, ``dy``, ``flow_width`` wide, in pixels of its own size)."""
+
+    def kernel(alpha: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> tuple:
+        matte = alpha.reshape(-1, width).astype(float)
+        height = len(matte)
+        flow = [resize(f.reshape(-1, flow_width).astype(float), height, width) for f in (dx, dy)]
+        scale = width / flow_width, height / (len(dx) // flow_width)
+        return (np.rint(warp(matte, flow[0] * scale[0], flow[1] * scale[1])).astype(int).ravel().tolist(),)
+
+    return per_row(images, kernel, ["alpha", "dx", "dy"], "aligned array<int>")
+
+
+def reduced(images: DataFrame, column: str, width: int, to_height: int, to_width: int) -> DataFrame:
+    """``reduced``: an array column of images ``width`` pixels wide at a smaller size (area means where the factor is whole)."""
+    return per_row(images, lambda a: (resize(a.reshape(-1, width).astype(float), to_height, to_width).ravel().tolist(),), [column], "reduced array<double>")

@@ -171,3 +171,34 @@ def assemble(parts: DataFrame) -> DataFrame:
     done = F.filter("parts", lambda p: p["status"] == "completed")
     document = F.to_json(F.struct(F.map_from_entries(F.transform("parts", lambda p: F.struct(p["feature"], p["status"]))).alias("capabilities"), F.map_from_entries(F.transform(F.filter("parts", lambda p: p["body"].isNotNull()), lambda p: F.struct(p["feature"], p["body"]))).alias("features"), F.col("warnings")))
     return out.select("media_id", F.size("parts").alias("features"), F.size(done).alias("completed"), "warnings", document.alias("document"))
+
+
+def artifacts(uploads: DataFrame, patterns: list[str], now: Column, most: int) -> DataFrame:
+    """(artifact, sha256, byte_count, mime_type, status) of what is to be uploaded: grant, host, digest, size, in this order; a manifest instead of an upload. ``uploads``: (artifact, url, expires_at, declared, content, mime_type)."""
+    from frametide.operators.control import allowed_urls, freshness
+
+    ok = allowed_urls(uploads.select("artifact", "url"), patterns).select("artifact", F.lit(True).alias("_host"))
+    digest, size = F.sha2("content", 256), F.octet_length("content")
+    status = F.when(freshness(F.col("expires_at"), now) != "live", "GRANT_EXPIRED").when(F.col("_host").isNull(), "UPLOAD_FAILED").when(F.lower("declared") != digest, "CHECKSUM_MISMATCH").when(size > most, "LIMIT_EXCEEDED").otherwise("ok")
+    return uploads.join(ok, "artifact", "left").select("artifact", digest.alias("sha256"), size.cast("long").alias("byte_count"), "mime_type", status.alias("status"))
+
+
+def config_fault(values: dict[str, Column]) -> Column:
+    """The first setting of the motion and quality measures that is out of its range, null if none. Settings that are not given are not looked at."""
+    low = {"window_frames": 1, "sample_stride": 1, "sharpness_width": 1, "sharpness_height": 1, "hash_distance": 0}
+    positive = ["consistency_px", "soft_focus", "severe_shake", "luma_distance", "colour_distance"]
+    rules = [(values[k] < v, k) for k, v in low.items() if k in values] + [(values[k] <= 0, k) for k in positive if k in values]
+    rules += [((values[k] < 0) | (values[k] > 1), k) for k in ("blown_fraction", "crushed_fraction") if k in values]
+    rules += [((values[k] <= 0) | (values[k] > 1), k) for k in ("inlier_ratio",) if k in values]
+    out = None
+    for bad, name in rules:
+        out = F.when(bad, name) if out is None else out.when(bad, name)
+    return out if out is not None else F.lit(None).cast("string")
+
+
+def read_frames(wanted: DataFrame, frames: DataFrame) -> DataFrame:
+    """The wanted frames (media_id, frame) with their pixels, null where a frame could not be decoded, and ``fault`` DECODE_FAILED for every row of a media that misses one of them."""
+    rows = wanted.join(frames, ["media_id", "frame"], "left")
+    value = next(c for c in frames.columns if c not in ("media_id", "frame"))
+    missing = F.max(F.col(value).isNull().cast("int")).over(Window.partitionBy("media_id"))
+    return rows.withColumn("fault", F.when(missing == 1, "DECODE_FAILED"))

@@ -240,3 +240,17 @@ def points_outside_subjects(spark, d):
     points = _points(spark, d).select("media_id", "frame", "det", F.col("x").alias("px"), F.col("y").alias("py"))
     boxes = t.boxes(spark, d).where("det % 2 = 1").select("media_id", "frame", "x", "y", (F.col("w") / 8).alias("w"), (F.col("h") / 8).alias("h"))
     return images.outside_boxes(points, boxes, 320, 240).select("media_id", "frame", "det")
+
+
+@query(f"WITH {t.PATCH}, c AS (SELECT media_id, frame_index, i, (patch[(i // 4) * 16 + (i % 4) * 2 + 1] + patch[(i // 4) * 16 + (i % 4) * 2 + 2] + patch[(i // 4) * 16 + (i % 4) * 2 + 9] + patch[(i // 4) * 16 + (i % 4) * 2 + 10]) / 4 AS v FROM patches, (SELECT unnest(range(0, 16)) AS i)) SELECT media_id, frame_index, i, round(v, 6) AS v FROM c")
+def area_reduced_frames(spark, d):
+    rows = images.reduced(t.patches(spark, d).select("media_id", "frame_index", "patch"), "patch", 8, 4, 4)
+    return rows.select("media_id", "frame_index", F.posexplode("reduced").alias("i", "v")).withColumn("i", F.col("i").cast("long")).withColumn("v", F.round("v", 6))
+
+
+@query(f"WITH {t.PATCH} SELECT media_id, frame_index, i, round_even(patch[(i // 8) * 8 + least(i % 8, 6) + 1] * CASE WHEN i % 8 = 7 THEN 0 ELSE 0.5 END + patch[(i // 8) * 8 + least(i % 8 + 1, 7) + 1] * CASE WHEN i % 8 = 7 THEN 1 ELSE 0.5 END, 0)::INT AS v FROM patches, (SELECT unnest(range(0, 64)) AS i)")
+def flow_warped_mattes(spark, d):
+    half = F.array_repeat(F.lit(0.25), 16)
+    rows = t.patches(spark, d).select("media_id", "frame_index", F.col("patch").alias("alpha"), half.alias("dx"), F.array_repeat(F.lit(0.0), 16).alias("dy"))
+    out = images.warp_mattes(rows, 8, 4)
+    return out.select("media_id", "frame_index", F.posexplode("aligned").alias("i", "v")).withColumn("i", F.col("i").cast("long"))

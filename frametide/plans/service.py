@@ -145,3 +145,46 @@ def analysis_box_map(spark, d):
     aw = F.when(F.col("l_suppkey") % 5 == 2, 700).otherwise(640)
     x = map_box(F.col("l_quantity"), aw, F.lit(360), F.lit(1280), F.lit(720))
     return t.table(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("box")).agg(F.count("*").alias("n"), F.count(x).alias("mapped"))
+
+
+_PUT = "put AS (SELECT doc_id AS artifact, 'https://' || CASE WHEN doc_id % 11 = 3 THEN 'evil.test/' ELSE 'put.example.com/' END || doc_id AS url, CASE doc_id % 13 WHEN 5 THEN '2020-01-01T00:00:00Z' ELSE '2030-01-01T00:00:00Z' END AS expires_at, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ABCD' ELSE sha256(coalesce(text, '')) END AS declared, coalesce(text, '') AS body FROM documents)"
+
+
+@query(f"WITH {_PUT} SELECT artifact, sha256(body) AS sha256, octet_length(encode(body))::BIGINT AS byte_count, 'image/png' AS mime_type, CASE WHEN expires_at < '2025' THEN 'GRANT_EXPIRED' WHEN url LIKE '%evil%' THEN 'UPLOAD_FAILED' WHEN declared <> sha256(body) THEN 'CHECKSUM_MISMATCH' WHEN octet_length(encode(body)) > 20000 THEN 'LIMIT_EXCEEDED' ELSE 'ok' END AS status FROM put")
+def artifact_manifest(spark, d):
+    k, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    url = F.concat(F.lit("https://"), F.when(k % 11 == 3, "evil.test/").otherwise("put.example.com/"), k.cast("string"))
+    rows = t.table(spark, d, "documents").select(k.alias("artifact"), url.alias("url"), F.when(k % 13 == 5, "2020-01-01T00:00:00Z").otherwise("2030-01-01T00:00:00Z").alias("expires_at"), F.when(k % 7 == 0, None).when(k % 7 == 1, "ABCD").otherwise(F.sha2(text, 256)).alias("declared"), text.cast("binary").alias("content"), F.lit("image/png").alias("mime_type"))
+    return service.artifacts(rows, ["*.example.com"], F.lit("2025-06-01 00:00:00").cast("timestamp"), 20_000)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 < 1 THEN 'window_frames' WHEN event_id % 3 - 1 < 0 THEN 'hash_distance' WHEN event_id % 5 <= 0 THEN 'soft_focus' WHEN value / 300 > 1 THEN 'blown_fraction' WHEN value / 200 <= 0 OR value / 200 > 1 THEN 'inlier_ratio' END AS fault FROM events")
+def config_guards(spark, d):
+    e, v = F.col("event_id"), F.col("value")
+    fault = service.config_fault({"window_frames": e % 7, "hash_distance": e % 3 - 1, "soft_focus": e % 5, "blown_fraction": v / 300, "inlier_ratio": v / 200})
+    return t.table(spark, d, "events").select("event_id", fault.alias("fault"))
+
+
+@query(f"WITH {t.SHOTS}, w AS (SELECT media_id, shot_index, start_frame + (end_frame - start_frame) // 2 AS frame FROM shots), r AS (SELECT *, CASE WHEN frame % 17 <> 3 THEN frame * 3 END AS value FROM w) SELECT media_id, shot_index, frame, value, CASE WHEN bool_or(value IS NULL) OVER (PARTITION BY media_id) THEN 'DECODE_FAILED' END AS fault FROM r")
+def representative_reads(spark, d):
+    s = t.shots(spark, d)
+    wanted = s.select("media_id", "shot_index", (F.col("start_frame") + F.floor((F.col("end_frame") - F.col("start_frame")) / 2)).alias("frame"))
+    frames = s.select("media_id", F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame")).where("frame % 17 <> 3").withColumn("value", F.col("frame") * 3)
+    return service.read_frames(wanted, frames)
+
+
+@query("WITH a AS (SELECT user_id AS media_id, unnest(['faces', 'ocr', 'shots']) AS feature FROM events GROUP BY 1), p AS (SELECT media_id, feature, CASE (media_id + length(feature)) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'partial' ELSE 'completed' END AS status, CASE WHEN media_id % 3 > 0 THEN '[1]' END AS body FROM a WHERE feature <> 'shots') SELECT media_id, feature, coalesce(status, 'failed') AS status, CASE WHEN status IN ('completed', 'partial') THEN coalesce(body, '[]') END AS body FROM a LEFT JOIN p USING (media_id, feature)")
+def empty_results(spark, d):
+    from frametide.operators import features
+
+    asked = t.table(spark, d, "events").select(F.col("user_id").alias("media_id")).distinct().select("media_id", F.explode(F.array(F.lit("faces"), F.lit("ocr"), F.lit("shots"))).alias("feature"))
+    k = (F.col("media_id") + F.length("feature")) % 4
+    parts = asked.where("feature <> 'shots'").select("media_id", "feature", F.when(k == 0, "failed").when(k == 1, "partial").otherwise("completed").alias("status"), F.when(F.col("media_id") % 3 > 0, "[1]").alias("body"))
+    return features.empty_results(parts, asked)
+
+
+@query("SELECT n_name AS name, 'quality-v1-sf120-sh0.0065' AS policy_version FROM nation")
+def policy_versions(spark, d):
+    from frametide.operators import shots
+
+    return t.table(spark, d, "nation").select(F.col("n_name").alias("name"), shots.policy_version("quality-v1", {"sf": 120, "sh": 0.0065}).alias("policy_version"))
