@@ -28,7 +28,45 @@ TABLE_WORDS = 200_000
 SLICE_CHARS = 1 << 20
 
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-_PROBES = ("a", "A é  ａﬁ b", "é x\ty　z\r\n ")
+
+
+def wire_fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of each field of a protocol buffer message: integers, and bytes for all else."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = varint() if key & 7 == 2 else 8 if key & 7 == 1 else 4
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def keeps_text(model: bytes) -> bool:
+    """Whether the model's own specification leaves a text as it is, behind one marker, with markers for spaces and no user-defined pieces.
+
+    Fixed values: field numbers of the model format: pieces 1 (type 3, user-defined 4), trainer 2 (white space as suffix 24), normaliser 3
+    (character map 2, dummy prefix 3, remove extra spaces 4, escape spaces 5, rules 6). Prefix, removal and escape hold unless they are switched off.
+    """
+    top = list(wire_fields(model))
+    kinds = {dict(wire_fields(v)).get(3, 1) for k, v in top if k == 1}
+    trainer = [dict(wire_fields(v)) for k, v in top if k == 2] or [{}]
+    rules = [dict(wire_fields(v)) for k, v in top if k == 3] or [{}]
+    r = rules[-1]
+    return 4 not in kinds and not trainer[-1].get(24, 0) and not r.get(2) and not r.get(6) and r.get(3, 1) == 1 and r.get(4, 1) == 0 and r.get(5, 1) == 1
 
 
 class ChunkTable:
@@ -47,13 +85,9 @@ class ChunkTable:
         self.length = np.array([len(x) for x in pieces], dtype=np.int64)
         #: Pieces that do not decode to their own characters.
         self.odd = np.array([self.lib.is_unknown(i) or self.lib.is_control(i) or self.lib.is_unused(i) or self.lib.is_byte(i) for i in everything])
-        self.by_chunk = not any(MARK in x.lstrip(MARK) for x in pieces) and all(self._same(x) for x in _PROBES) and self.lib.id_to_piece(self.alone) == MARK
+        self.by_chunk = not any(MARK in x.lstrip(MARK) for x in pieces) and keeps_text(model) and self.lib.id_to_piece(self.alone) == MARK
         self._clear()
 
-    def _same(self, text: str) -> bool:
-        """The model keeps the text as it is, behind one marker."""
-        return self.lib.normalize(text) == MARK + text.replace(" ", MARK)
-
     def _clear(self) -> None:
         self.row: dict[str, int] = {}
         self.words: list[str] = []

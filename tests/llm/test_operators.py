@@ -52,6 +52,11 @@ def test_sentencepiece(docs, nothing):
     small = sentencepiece_codec.ChunkTable(model, most=3)
     assert small.by_chunk and [list(x) for x in small.encode_decode([PROSE])[0]] == [lib.encode(PROSE)]
     assert sentencepiece_codec.encode(nothing, model).count() == 0
+    piece = lambda kind: b"\x0a\x04" + b"\x0a\x00" + b"\x18" + bytes([kind])
+    spec = lambda *f: b"\x1a" + bytes([len(f)]) + bytes(f)
+    assert sentencepiece_codec.keeps_text(model) and sentencepiece_codec.keeps_text(piece(1) + spec(0x18, 1, 0x20, 0))
+    for changed in (piece(4) + spec(0x20, 0), piece(1), piece(1) + spec(0x20, 1), piece(1) + spec(0x18, 0, 0x20, 0), piece(1) + spec(0x20, 0, 0x28, 0), piece(1) + spec(0x12, 1, 7, 0x20, 0), b"\x12\x03\xc0\x01\x01" + spec(0x20, 0)):
+        assert not sentencepiece_codec.keeps_text(changed)
 
 
 def brute_components(rows):
