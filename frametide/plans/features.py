@@ -17,27 +17,27 @@ def _pcm(spark, d):
     return t.signal(spark, d).select("media_id", "sample_index", "x")
 
 
-@query(f"""WITH m AS (SELECT DISTINCT user_id AS media_id FROM events UNION SELECT DISTINCT -user_id - 1 FROM events), r AS (SELECT media_id, count(*) AS n, round(sum(rms), 4) AS s FROM {_part('audio_rms_hops')} GROUP BY 1), o AS (SELECT media_id, count(*) AS n FROM {_part('onset_refractory')} GROUP BY 1), s AS (SELECT media_id, count(*) AS n, round(sum(end_sec - start_sec), 4) AS sec FROM {_part('speech_segments')} GROUP BY 1)
+@query(f"""WITH m AS (SELECT DISTINCT user_id AS media_id FROM events UNION SELECT DISTINCT -user_id - 1 FROM events), r AS (SELECT media_id, count(*) AS n, round(sum(rms) + 1e-9, 4) AS s FROM {_part('audio_rms_hops')} GROUP BY 1), o AS (SELECT media_id, count(*) AS n FROM {_part('onset_refractory')} GROUP BY 1), s AS (SELECT media_id, count(*) AS n, round(sum(end_sec - start_sec) + 1e-9, 4) AS sec FROM {_part('speech_segments')} GROUP BY 1)
 SELECT m.media_id, CASE WHEN r.n IS NULL THEN 'absent' ELSE 'present' END AS presence, coalesce(r.n, 0)::INT AS n_rms, coalesce(r.s, 0) AS rms_sum, coalesce(o.n, 0)::INT AS n_onsets, coalesce(s.n, 0)::INT AS n_speech, coalesce(s.sec, 0) AS speech_sec, lufs, bpm FROM m LEFT JOIN r USING (media_id) LEFT JOIN o USING (media_id) LEFT JOIN s USING (media_id) LEFT JOIN {_part('gated_loudness')} g USING (media_id) LEFT JOIN {_part('tempo_estimate')} b USING (media_id)""")
 def audio_feature(spark, d):
     ids = t.table(spark, d, "events").select(F.col("user_id").alias("media_id")).distinct()
     out = features.audio_feature(_pcm(spark, d), t.vad(spark, d), ids.union(ids.select(-F.col("media_id") - 1)), 10, 0.1, 0.02, 31.25, 8, 2)
-    total = lambda c, f: F.round(F.aggregate(c, F.lit(0.0), lambda s, r: s + f(r)), 4)
+    total = lambda c, f: F.round(F.aggregate(c, F.lit(1e-9), lambda s, r: s + f(r)), 4)
     return out.select("media_id", "presence", F.size("rms").alias("n_rms"), total("rms", lambda r: F.round(r["rms"], 6)).alias("rms_sum"), F.size("onsets").alias("n_onsets"), F.size("speech").alias("n_speech"), total("speech", lambda r: r["end_sec"] - r["start_sec"]).alias("speech_sec"), F.round("lufs", 6).alias("lufs"), "bpm")
 
 
-@query(f"WITH m AS (SELECT DISTINCT user_id AS media_id FROM events UNION SELECT DISTINCT -user_id - 1 FROM events), e AS (SELECT media_id, count(*) AS n, round(sum(low), 4) AS low, round(sum(high), 4) AS high FROM {_part('audio_waveform_envelope')} GROUP BY 1) SELECT m.media_id, coalesce(n, 0)::INT AS n, coalesce(low, 0) AS low, coalesce(high, 0) AS high, CASE WHEN n IS NULL THEN 'AUDIO_ABSENT' END AS reason FROM m LEFT JOIN e USING (media_id)")
+@query(f"WITH m AS (SELECT DISTINCT user_id AS media_id FROM events UNION SELECT DISTINCT -user_id - 1 FROM events), e AS (SELECT media_id, count(*) AS n, round(sum(low) + 1e-9, 4) AS low, round(sum(high) + 1e-9, 4) AS high FROM {_part('audio_waveform_envelope')} GROUP BY 1) SELECT m.media_id, coalesce(n, 0)::INT AS n, coalesce(low, 0) AS low, coalesce(high, 0) AS high, CASE WHEN n IS NULL THEN 'AUDIO_ABSENT' END AS reason FROM m LEFT JOIN e USING (media_id)")
 def waveform_feature(spark, d):
     ids = t.table(spark, d, "events").select(F.col("user_id").alias("media_id")).distinct()
     out = features.waveform_feature(_pcm(spark, d), ids.union(ids.select(-F.col("media_id") - 1)), 2)
-    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + F.round(v, 6)), 4).alias(c)
+    total = lambda c: F.round(F.aggregate(c, F.lit(1e-9), lambda s, v: s + F.round(v, 6)), 4).alias(c)
     return out.select("media_id", F.size("low").alias("n"), total("low"), total("high"), "reason")
 
 
-@query(f"WITH w AS (SELECT media_id, count(*) AS n, round(sum(magnitude), 5) AS magnitude FROM {_part('motion_windows_circular_mean')} GROUP BY 1), r AS (SELECT media_id, count(*) AS n, string_agg(kind, ',' ORDER BY start_frame) AS kinds FROM {_part('camera_move_rle')} GROUP BY 1) SELECT media_id, w.n::INT AS n_windows, magnitude, r.n::INT AS n_moves, kinds FROM w LEFT JOIN r USING (media_id)")
+@query(f"WITH w AS (SELECT media_id, count(*) AS n, round(sum(magnitude) + 1e-9, 5) AS magnitude FROM {_part('motion_windows_circular_mean')} GROUP BY 1), r AS (SELECT media_id, count(*) AS n, string_agg(kind, ',' ORDER BY start_frame) AS kinds FROM {_part('camera_move_rle')} GROUP BY 1) SELECT media_id, w.n::INT AS n_windows, magnitude, r.n::INT AS n_moves, kinds FROM w LEFT JOIN r USING (media_id)")
 def motion_feature(spark, d):
     out = features.motion_feature(t.motion_pairs(spark, d))
-    return out.select("media_id", F.size("windows").alias("n_windows"), F.round(F.aggregate("windows", F.lit(0.0), lambda s, w: s + w["magnitude"]), 5).alias("magnitude"), F.size("moves").alias("n_moves"), F.array_join(F.transform("moves", lambda m: m["kind"]), ",").alias("kinds"))
+    return out.select("media_id", F.size("windows").alias("n_windows"), F.round(F.aggregate("windows", F.lit(1e-9), lambda s, w: s + w["magnitude"]), 5).alias("magnitude"), F.size("moves").alias("n_moves"), F.array_join(F.transform("moves", lambda m: m["kind"]), ",").alias("kinds"))
 
 
 _LIN = lambda c: f"CASE WHEN {c} / 255 <= 0.04045 THEN {c} / 255 / 12.92 ELSE pow(({c} / 255 + 0.055) / 1.055, 2.4) END"
@@ -50,11 +50,11 @@ def exposure_feature(spark, d):
     return out.select("media_id", "shot", "mean_luma", "p05_luma", "p95_luma", "contrast", "saturation", F.array_join(F.transform("colours", lambda c: c["hex"]), ",").alias("colours"))
 
 
-@query(f"WITH s AS (SELECT media_id, frame_index, count(*) AS n, round(sum(px), 4) AS px FROM {_part('saliency_regions')} GROUP BY ALL), {t.PATCH} SELECT media_id, frame_index, coalesce(n, 0)::INT AS n_regions, coalesce(n, 0)::INT AS n_candidates, coalesce(px, 0) AS px, CASE WHEN n IS NULL THEN 'insufficient-contrast' ELSE 'contrast-evidence' END AS validity FROM patches LEFT JOIN s USING (media_id, frame_index)")
+@query(f"WITH s AS (SELECT media_id, frame_index, count(*) AS n, round(sum(px) + 1e-9, 4) AS px FROM {_part('saliency_regions')} GROUP BY ALL), {t.PATCH} SELECT media_id, frame_index, coalesce(n, 0)::INT AS n_regions, coalesce(n, 0)::INT AS n_candidates, coalesce(px, 0) AS px, CASE WHEN n IS NULL THEN 'insufficient-contrast' ELSE 'contrast-evidence' END AS validity FROM patches LEFT JOIN s USING (media_id, frame_index)")
 def image_focus_feature(spark, d):
     rows = t.patches(spark, d).select("media_id", "frame_index", F.transform("patch", lambda v: (v % 60 + F.when(F.col("frame_index") % 7 == 0, -60).otherwise(0)).cast("double")).alias("contrast"))
     out = features.image_feature(rows, 8)
-    return out.select("media_id", "frame_index", F.size("regions").alias("n_regions"), F.size("candidates").alias("n_candidates"), F.round(F.aggregate("candidates", F.lit(0.0), lambda s, c: s + F.round(c["px"], 6)), 4).alias("px"), "validity")
+    return out.select("media_id", "frame_index", F.size("regions").alias("n_regions"), F.size("candidates").alias("n_candidates"), F.round(F.aggregate("candidates", F.lit(1e-9), lambda s, c: s + F.round(c["px"], 6)), 4).alias("px"), "validity")
 
 
 @query()
