@@ -14,33 +14,44 @@ from frametide.operators.folds import fold
 N_FFT, HOP, BANDS = 2048, 512, {"low": (20, 200), "mid": (200, 2000), "high": (2000, 8000)}
 MIN_BPM, MAX_BPM, LEAST_VARIANCE, LEAST_CONFIDENCE = 60.0, 200.0, 1e-4, 0.45
 RHYTHM_HOP, RHYTHM_REFRACTORY, ACTIVE_FLOOR, ACTIVE_PART = 0.005, 0.08, 1e-4, 0.1
+#: Samples of a chunk.
+CHUNK = 16_384
 #: Gates of programme loudness.
 ABSOLUTE_GATE, RELATIVE_GATE, LOUDNESS_OFFSET = -70.0, -10.0, -0.691
 
 
+def chunks(pcm: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(media_id, chunk_index, samples): a table of samples as arrays of ``size`` in order."""
+    rows = pcm.groupBy("media_id", F.floor(F.col("sample_index") / size).alias("chunk_index")).agg(F.array_sort(F.collect_list(F.struct("sample_index", "x"))).alias("s"))
+    return rows.select("media_id", "chunk_index", F.transform("s", lambda r: r["x"]).alias("samples"))
+
+
 def flux(pcm: DataFrame, rate: float, n_fft: int = N_FFT, hop: int = HOP, bands: dict[str, tuple[float, float]] = BANDS) -> DataFrame:
     """(media_id, frame, flux, flux_<band>): rises of the Hann-windowed magnitudes from each transform to the next, summed over all bins and over bands.
 
-    Samples stream through in order; a task holds one transform and the magnitudes before it, not a media.
+    ``pcm``: chunks (media_id, chunk_index, samples). They stream through in order; a task holds one chunk and what the transform before left over, not a media.
     """
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / (n_fft - 1))
     freqs = np.fft.rfftfreq(n_fft, 1 / rate)
     masks = [(freqs >= a) & (freqs < b) for a, b in bands.values()]
 
     def step(state: dict, row: dict) -> list[tuple]:
-        state["held"].append(row["x"])
-        if len(state["held"]) < n_fft:
+        held = np.concatenate([state["held"], np.array(row["samples"], dtype=float)])
+        if len(held) < n_fft:
+            state["held"] = held
             return []
-        now, before = np.abs(np.fft.rfft(np.array(state["held"]) * window)), state["before"]
-        del state["held"][:hop]
-        state["before"], state["frame"] = now, state["frame"] + 1
-        if before is None:
-            return []
-        rise = np.maximum(now - before, 0)
-        return [(row["media_id"], state["frame"] - 1, float(rise.sum()), *[float(rise[m].sum()) for m in masks])]
+        frames = np.lib.stride_tricks.sliding_window_view(held, n_fft)[::hop]
+        now = np.abs(np.fft.rfft(frames * window, axis=1))
+        state["held"] = held[len(frames) * hop :]
+        all_of = now if state["before"] is None else np.concatenate([state["before"][None], now])
+        rise = np.maximum(np.diff(all_of, axis=0), 0)
+        state["before"], first = now[-1], state["frame"]
+        state["frame"] = first + len(rise)
+        sums = [rise.sum(axis=1), *[rise[:, m].sum(axis=1) for m in masks]]
+        return [(row["media_id"], first + i, *[float(v[i]) for v in sums]) for i in range(len(rise))]
 
     schema = "media_id long, frame long, flux double" + "".join(f", flux_{b} double" for b in bands)
-    return fold(pcm.select("media_id", "sample_index", "x"), ["media_id"], ["sample_index"], lambda row: {"held": [], "before": None, "frame": -1}, step, schema)
+    return fold(pcm.select("media_id", "chunk_index", "samples"), ["media_id"], ["chunk_index"], lambda row: {"held": np.zeros(0), "before": None, "frame": 0}, step, schema)
 
 
 def band_of_onsets(onsets: DataFrame, flux_rows: DataFrame, rate: float, hop: int = HOP, bands: dict = BANDS) -> DataFrame:
@@ -150,20 +161,24 @@ def beat_events(times: DataFrame, rate: int = 22050) -> DataFrame:
 
 
 def vad_windows(pcm: DataFrame, size: int = 512, context: int = 64) -> DataFrame:
-    """(media_id, window_index, samples): windows of ``size`` samples behind the ``context`` samples before them (silence before the first); the last is filled up with silence."""
+    """(media_id, window_index, samples): windows of ``size`` samples behind the ``context`` samples before them (silence before the first); the last is filled up with silence. ``pcm``: chunks."""
+
+    def windows(state: dict) -> list[tuple]:
+        n = (len(state["held"]) - context) // size
+        out = [(state["media"], state["n"] + i, state["held"][i * size : i * size + context + size].tolist()) for i in range(n)]
+        state["held"], state["n"] = state["held"][n * size :], state["n"] + n
+        return out
 
     def step(state: dict, row: dict) -> list[tuple]:
-        state["media"] = row["media_id"]
-        state["held"].append(row["x"])
-        return emit(state) if len(state["held"]) == context + size else []
+        state["media"], state["held"] = row["media_id"], np.concatenate([state["held"], np.array(row["samples"], dtype=float)])
+        return windows(state)
 
-    def emit(state: dict) -> list[tuple]:
-        held = state["held"] + [0.0] * (context + size - len(state["held"]))
-        state["held"], state["n"] = held[-context:], state["n"] + 1
-        return [(state["media"], state["n"] - 1, held)]
+    def finish(state: dict) -> list[tuple]:
+        left = len(state["held"]) - context
+        state["held"] = np.concatenate([state["held"], np.zeros(-left % size)])
+        return windows(state)
 
-    finish = lambda state: emit(state) if len(state["held"]) > context else []
-    return fold(pcm.select("media_id", "sample_index", "x"), ["media_id"], ["sample_index"], lambda row: {"held": [0.0] * context, "n": 0, "media": None}, step, "media_id long, window_index long, samples array<double>", finish)
+    return fold(pcm.select("media_id", "chunk_index", "samples"), ["media_id"], ["chunk_index"], lambda row: {"held": np.zeros(context), "n": 0, "media": None}, step, "media_id long, window_index long, samples array<double>", finish)
 
 
 def probability(raw: Column) -> Column:

@@ -20,7 +20,7 @@ flux AS (SELECT media_id, frame, sum(d) AS flux, {', '.join(f"coalesce(sum(d) FI
 
 
 def _flux(spark, d):
-    return spectral.flux(t.signal(spark, d).select("media_id", "sample_index", "x"), _RATE, _N, _HOP, _BANDS)
+    return spectral.flux(spectral.chunks(t.signal(spark, d), 10), _RATE, _N, _HOP, _BANDS)
 
 
 _NAMES = ["flux", *(f"flux_{n}" for n in _BANDS)]
@@ -109,7 +109,7 @@ def beat_event_validation(spark, d):
 
 @query(f"WITH {t.SIG}, len AS (SELECT media_id, count(*) AS n FROM sig GROUP BY 1), w AS (SELECT media_id, unnest(range(0, (n + 9) // 10)) AS window_index FROM len), v AS (SELECT w.media_id, window_index, j, coalesce(x, 0) AS x FROM w, (SELECT unnest(range(-3, 10)) AS j) LEFT JOIN sig ON sig.media_id = w.media_id AND sample_index = window_index * 10 + j) SELECT media_id, window_index, round(sum(x * (j + 4)), 6) AS digest, count(*) AS size FROM v GROUP BY ALL")
 def vad_context_windows(spark, d):
-    rows = spectral.vad_windows(t.signal(spark, d).select("media_id", "sample_index", "x"), 10, 3)
+    rows = spectral.vad_windows(spectral.chunks(t.signal(spark, d), 7), 10, 3)
     total = F.aggregate(F.transform("samples", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
     return rows.select("media_id", "window_index", F.round(total, 6).alias("digest"), F.size("samples").cast("long").alias("size"))
 

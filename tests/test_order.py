@@ -202,7 +202,7 @@ def test_click_track_has_a_tempo(spark):
 def test_flux_of_a_step(spark):
     x = np.concatenate([np.zeros(64), np.sin(np.arange(64) * 2 * np.pi / 8)])
     rows = [(1, i, float(v)) for i, v in enumerate(x)]
-    got = spectral.flux(spark.createDataFrame(rows, "media_id long, sample_index long, x double"), 8.0, 16, 4, {"all": (0, 5)}).collect()
+    got = spectral.flux(spectral.chunks(spark.createDataFrame(rows, "media_id long, sample_index long, x double"), 37), 8.0, 16, 4, {"all": (0, 5)}).collect()
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(16) / 15)
     m = [np.abs(np.fft.rfft(x[a : a + 16] * window)) for a in range(0, len(x) - 15, 4)]
     assert np.allclose([r["flux"] for r in sorted(got, key=lambda r: r["frame"])], [np.maximum(b - a, 0).sum() for a, b in zip(m, m[1:], strict=False)])
