@@ -109,18 +109,28 @@ def gap_fill(track: DataFrame, max_gap: int, mandatory: Column) -> DataFrame:
     return track.select("media_id", "frame", *"xywh", F.lit("detected").alias("kind")).union(filled.withColumn("kind", kind))
 
 
+def six_digits(value: Column) -> Column:
+    """``value`` to six digits, halves away from zero, decided on the double itself, where ``round`` decides on its shortest decimal form."""
+    return F.round(value * 1e6) / 1e6 + F.lit(0.0)
+
+
 def motion_windows(pairs: DataFrame, window: int = MOTION_WINDOW) -> DataFrame:
     """All windows of ``window`` frames up to each media's last pair: mean magnitude, coherence, scale and residual, and the circular mean of the direction (null below ``STATIC``).
 
     Windows without pairs are still. Magnitude, coherence and direction come rounded to six digits, as the classifier reads them.
+    Pairs are summed in their order, as means of few decimals often end in a five, whose rounding depends on that order.
     """
     ends = pairs.groupBy("media_id").agg((F.max("start_frame") + 3).alias("_n"))  # a pair spans two frames behind its first
     spans = ends.withColumn("start_frame", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(window).cast("long"))))
-    means = pairs.groupBy("media_id", (F.floor(F.col("start_frame") / window) * window).alias("start_frame")).agg(*[F.avg(c).alias(c) for c in ("magnitude", "coherence", "scale", "residual")], F.atan2(F.sum(F.sin("direction")), F.sum(F.cos("direction"))).alias("direction"))
+    order = Window.partitionBy("media_id", "_window").orderBy("start_frame", "magnitude", "coherence", "scale", "residual", "direction")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {c: F.avg(c).over(so_far) for c in ("magnitude", "coherence", "scale", "residual")} | {"direction": F.atan2(F.sum(F.sin("direction")).over(so_far), F.sum(F.cos("direction")).over(so_far))}
+    rows = pairs.withColumn("_window", F.floor(F.col("start_frame") / window) * window)
+    means = rows.select("media_id", "_window", F.lead(F.lit(1)).over(order).alias("_more"), *[v.alias(c) for c, v in sums.items()]).where("_more is null").drop("_more").withColumnRenamed("_window", "start_frame")
     out = spans.join(means, ["media_id", "start_frame"], "left")
     known = lambda c, default: F.coalesce(F.col(c), F.lit(default))
-    direction = F.when(F.col("magnitude") >= STATIC, F.round("direction", 6) + F.lit(0.0))
-    return out.select("media_id", "start_frame", F.least(F.col("start_frame") + window, F.col("_n")).alias("end_frame"), F.round(known("magnitude", 0.0), 6).alias("magnitude"), direction.alias("direction"), F.round(known("coherence", 0.0), 6).alias("coherence"), known("scale", 1.0).alias("scale"), known("residual", 0.0).alias("residual"))
+    direction = F.when(F.col("magnitude") >= STATIC, six_digits(F.col("direction")))
+    return out.select("media_id", "start_frame", F.least(F.col("start_frame") + window, F.col("_n")).alias("end_frame"), six_digits(known("magnitude", 0.0)).alias("magnitude"), direction.alias("direction"), six_digits(known("coherence", 0.0)).alias("coherence"), known("scale", 1.0).alias("scale"), known("residual", 0.0).alias("residual"))
 
 
 def camera_moves(windows: DataFrame) -> DataFrame:
