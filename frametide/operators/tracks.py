@@ -22,13 +22,18 @@ CONTAINED, OVERLAP, FACE_IOU, LONELY_SCORE, LONELY_TIMES = 0.85, 0.25, 0.3, 0.9,
 LASTING_SHARE, LASTING_VARIANCE = 0.40, 0.004
 
 
-def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlap of every box (x, y, w, h) of ``a`` with every one of ``b``."""
+def _areas(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Intersection and union of every box (x, y, w, h) of ``a`` with every one of ``b``."""
     a, b = a[:, None, :], b[None, :, :]
     wide = np.minimum(a[..., 0] + a[..., 2], b[..., 0] + b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
     high = np.minimum(a[..., 1] + a[..., 3], b[..., 1] + b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     both = np.maximum(wide, 0) * np.maximum(high, 0)
-    union = a[..., 2] * a[..., 3] + b[..., 2] * b[..., 3] - both
+    return both, a[..., 2] * a[..., 3] + b[..., 2] * b[..., 3] - both
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap of every box (x, y, w, h) of ``a`` with every one of ``b``."""
+    both, union = _areas(a, b)
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
@@ -250,12 +255,14 @@ def detection_scores(matches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def distinct_boxes(boxes: DataFrame, least: float = 0.7) -> DataFrame:
-    """Boxes of each media, in order of frame and ``det``, that overlap every box kept before them by less than ``least``."""
+    """Boxes of each media, in order of frame and ``det``, that overlap every box kept before them by less than ``least``: intersections are compared with ``least`` times the union, as a quotient would be rounded once more."""
 
     def step(kept: list, r: dict) -> list[tuple]:
         box = np.array([[r["x"], r["y"], r["w"], r["h"]]], dtype=float)
-        if kept and overlaps(box, np.array(kept))[0].max() >= least:
-            return []
+        if kept:
+            both, union = _areas(box, np.array(kept))
+            if ((both >= least * union) & (union > 0)).any():
+                return []
         kept.append(box[0])
         return [(r["media_id"], r["frame"], r["det"])]
 

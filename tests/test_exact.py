@@ -2,7 +2,7 @@
 
 import duckdb
 
-from frametide.operators import frames
+from frametide.operators import frames, tracks
 from frametide.plans import catalogue
 
 MID = "/root/testdata/sf0.01"
@@ -21,3 +21,13 @@ def test_motion_windows_do_not_depend_on_layout(spark):
     pairs = spark.createDataFrame([(1, 2 * i, v, 0.1, 0.5, 1.0, 0.0) for i, v in enumerate((0.1, 0.2, 0.3, 1e16, -1e16))], "media_id long, start_frame long, magnitude double, direction double, coherence double, scale double, residual double")
     got = {frames.motion_windows(p).head()["magnitude"] for p in (pairs.coalesce(1), pairs.orderBy(pairs.start_frame.desc()).coalesce(1), pairs.repartition(4))}
     assert len(got) == 1
+
+
+BOX = "media_id long, frame long, det int, x double, y double, w double, h double, score double"
+
+
+def test_distinct_boxes_at_the_threshold(spark):
+    """Overlap 0.4 by the product, as the SQL compares, and just below it by the quotient."""
+    rows = [(1, 0, 0, 0.0, 0.0625, 0.44, 0.15, 1.0), (1, 0, 1, 0.0, 0.0625, 0.24, 0.25, 1.0), (2, 0, 0, 0.15, 0.25, 0.21, 0.2, 1.0), (2, 0, 1, 0.2, 0.1875, 0.2, 0.35, 1.0)]
+    got = tracks.distinct_boxes(spark.createDataFrame(rows, BOX), 0.4).collect()
+    assert sorted((r["media_id"], r["det"]) for r in got) == [(1, 0), (2, 0)]
