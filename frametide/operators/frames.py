@@ -204,24 +204,27 @@ def quality_flags(sharpness: Column, shake: Column, blown: Column, crushed: Colu
     return F.concat_ws(",", F.when(sharpness < soft, "soft_focus"), F.when(shake >= SHAKE, "severe_shake"), F.when(blown >= BLOWN, "blown_highlights"), F.when(crushed >= CRUSHED, "crushed_shadows"), F.when(duplicate_of.isNotNull(), "near_duplicate"))
 
 
-def nms(boxes: DataFrame, least: float = NMS_IOU, most: int = NMS_MOST) -> DataFrame:
-    """Greedy suppression in each frame, by score, then by index, both descending; at most ``most`` boxes are kept, as the detector defines. Groups are single frames."""
+def nms(boxes: DataFrame, least: float = NMS_IOU, most: int | None = NMS_MOST) -> DataFrame:
+    """Greedy suppression in each frame, by score, then by index, both descending; at most ``most`` boxes are kept, as the detector defines (None: all). Groups are single frames.
+
+    Intersections are compared with ``least`` times the union, as a quotient would be rounded once more.
+    """
 
     def keep(rows: list[dict]) -> list[tuple]:
         kept: list[dict] = []
         for r in rows:
             if len(kept) == most:
                 break
-            if all(overlap(k, r) <= least for k in kept):
+            if not any(beyond(k, r) for k in kept):
                 kept.append(r)
         return [(r["media_id"], r["frame"], r["det"], r["score"]) for r in kept]
 
-    def overlap(a: dict, b: dict) -> float:
+    def beyond(a: dict, b: dict) -> bool:
         wide = min(a["x"] + a["w"], b["x"] + b["w"]) - max(a["x"], b["x"])
         high = min(a["y"] + a["h"], b["y"] + b["h"]) - max(a["y"], b["y"])
         both = max(wide, 0.0) * max(high, 0.0)
         union = a["w"] * a["h"] + b["w"] * b["h"] - both
-        return both / union if union > 0 else 0.0
+        return union > 0 and both > least * union
 
     ranked = boxes.select("media_id", "frame", "det", "score", "x", "y", "w", "h", (-F.col("score")).alias("_s"), (-F.col("det")).alias("_d"))
     return by_group(ranked, ["media_id", "frame"], ["_s", "_d"], keep, "media_id long, frame long, det int, score double")

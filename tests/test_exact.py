@@ -31,3 +31,13 @@ def test_distinct_boxes_at_the_threshold(spark):
     rows = [(1, 0, 0, 0.0, 0.0625, 0.44, 0.15, 1.0), (1, 0, 1, 0.0, 0.0625, 0.24, 0.25, 1.0), (2, 0, 0, 0.15, 0.25, 0.21, 0.2, 1.0), (2, 0, 1, 0.2, 0.1875, 0.2, 0.35, 1.0)]
     got = tracks.distinct_boxes(spark.createDataFrame(rows, BOX), 0.4).collect()
     assert sorted((r["media_id"], r["det"]) for r in got) == [(1, 0), (2, 0)]
+
+
+def test_suppression_at_the_threshold(spark):
+    """Overlap 0.45: the product decides, as in the SQL; the query keeps more than 100 boxes of a frame."""
+    rows = [(1, 0, 1, 0.1, 0.3125, 0.28, 0.5, 0.9), (1, 0, 0, 0.1, 0.43750000000000006, 0.18, 0.35, 0.8), (2, 0, 1, 0.1, 0.1875, 0.26, 0.2, 0.9), (2, 0, 0, 0.15, 0.1875, 0.13, 0.18, 0.8)]
+    rows += [(3, 0, i, float(i), 0.0, 0.5, 0.5, 0.9) for i in range(120)]
+    boxes = spark.createDataFrame(rows, BOX)
+    got = frames.nms(boxes, most=None).collect()
+    assert sorted((r["media_id"], r["det"]) for r in got) == [(1, 0), (1, 1), (2, 0), (2, 1), *[(3, i) for i in range(120)]]
+    assert frames.nms(boxes).where("media_id = 3").count() == 100
