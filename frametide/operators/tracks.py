@@ -203,10 +203,12 @@ def merge_faces(samples: DataFrame) -> DataFrame:
     """(media_id, track, subject, frame, kind, score): fragments of one subject become one face, of each frame the detected, then the highest-scored sample; faces without a subject stay if they score ``LONELY_SCORE`` and were detected ``LONELY_TIMES`` times.
 
     A face's track is the smallest of its fragments'. ``samples``: (media_id, track, subject or null, frame, kind, score).
+    Scores are summed from the highest down, so that a mean at the bound does not depend on the order in which rows arrive.
     """
     detected = (F.col("kind") == "detected").cast("int")
     lonely = samples.where("subject is null")
-    strong = lonely.groupBy("media_id", "track").agg(F.avg("score").alias("_score"), F.sum(detected).alias("_times")).where((F.col("_score") >= LONELY_SCORE) & (F.col("_times") >= LONELY_TIMES))
+    mean = F.aggregate(F.sort_array(F.collect_list("score"), False), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.count("score"), F.lit(0))
+    strong = lonely.groupBy("media_id", "track").agg(mean.alias("_score"), F.sum(detected).alias("_times")).where((F.col("_score") >= LONELY_SCORE) & (F.col("_times") >= LONELY_TIMES))
     tied = samples.where("subject is not null")
     first = tied.groupBy("media_id", "subject").agg(F.min("track").alias("_track"))
     w = Window.partitionBy("media_id", "subject", "frame").orderBy(detected.desc(), F.coalesce("score", F.lit(0.0)).desc(), "track")

@@ -41,3 +41,12 @@ def test_suppression_at_the_threshold(spark):
     got = frames.nms(boxes, most=None).collect()
     assert sorted((r["media_id"], r["det"]) for r in got) == [(1, 0), (1, 1), (2, 0), (2, 1), *[(3, i) for i in range(120)]]
     assert frames.nms(boxes).where("media_id = 3").count() == 100
+
+
+def test_lonely_faces_at_the_bound(spark):
+    """The mean 0.9 of three scores is kept or not whatever the order of rows."""
+    scores = [(0.86, 0.86, 0.98), (0.86, 0.98, 0.86), (0.98, 0.86, 0.86), (0.88, 0.88, 0.94), (0.88, 0.94, 0.88), (0.94, 0.88, 0.88)]
+    rows = [(m, "face-0", None, f, "detected", v) for m, s in enumerate(scores) for f, v in enumerate(s)]
+    got = tracks.merge_faces(spark.createDataFrame(rows, "media_id long, track string, subject long, frame long, kind string, score double").coalesce(1))
+    kept = {r["media_id"] for r in got.collect()}
+    assert len(kept & {0, 1, 2}) in (0, 3) and len(kept & {3, 4, 5}) in (0, 3)
