@@ -53,12 +53,15 @@ def motion_pairs(frame_count: Column, stride: int = PAIR_STRIDE) -> Column:
 
 
 def decodable_pairs(media: DataFrame, frames: DataFrame) -> DataFrame:
-    """(media_id, first, second, decoded): pairs both of whose frames are there; a media none of whose pairs are is left with one row of nulls and decoded false."""
+    """(media_id, first, second, decoded): pairs both of whose frames are there; a media none of whose pairs are is left with one row of nulls and decoded false.
+
+    All joins are merged: runs of numbers shrink so far in a shuffle that Spark would take millions of rows for small enough to broadcast from the driver.
+    """
     wanted = media.select("media_id", F.explode("pairs").alias("p")).select("media_id", "p.*")
     have = frames.select("media_id", "frame").distinct()
-    one = wanted.join(have.withColumnRenamed("frame", "first"), ["media_id", "first"], "left_semi")
-    two = one.join(have.withColumnRenamed("frame", "second"), ["media_id", "second"], "left_semi").select("media_id", "first", "second")
-    return media.select("media_id").join(two, "media_id", "left").withColumn("decoded", F.col("first").isNotNull())
+    one = wanted.join(have.withColumnRenamed("frame", "first").hint("merge"), ["media_id", "first"], "left_semi")
+    two = one.join(have.withColumnRenamed("frame", "second").hint("merge"), ["media_id", "second"], "left_semi").select("media_id", "first", "second")
+    return media.select("media_id").join(two.hint("merge"), "media_id", "left").withColumn("decoded", F.col("first").isNotNull())
 
 
 def stride(width: Column, height: Column, most: int = MAX_PIXELS) -> Column:

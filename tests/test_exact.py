@@ -2,7 +2,7 @@
 
 import duckdb
 
-from frametide.operators import frames, tracks
+from frametide.operators import frames, sampling, tracks
 from frametide.plans import catalogue
 
 MID = "/root/testdata/sf0.01"
@@ -50,3 +50,12 @@ def test_lonely_faces_at_the_bound(spark):
     got = tracks.merge_faces(spark.createDataFrame(rows, "media_id long, track string, subject long, frame long, kind string, score double").coalesce(1))
     kept = {r["media_id"] for r in got.collect()}
     assert len(kept & {0, 1, 2}) in (0, 3) and len(kept & {3, 4, 5}) in (0, 3)
+
+
+def test_motion_pairs_are_not_broadcast(spark):
+    media = spark.range(2000).selectExpr("id AS media_id", "transform(sequence(0L, 98L, 2L), s -> named_struct('first', s, 'second', s + 1)) AS pairs")
+    have = spark.range(200000).selectExpr("id div 100 AS media_id", "id % 100 AS frame").where("frame % 11 <> 4")
+    out = sampling.decodable_pairs(media, have)
+    assert out.count() == out.where("decoded").count() == 2000 * sum(1 for s in range(0, 99, 2) if s % 11 != 4 and (s + 1) % 11 != 4)
+    out.collect()
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
