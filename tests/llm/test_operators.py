@@ -283,3 +283,29 @@ def test_toxicity_and_quality_fit(spark, docs, nothing):
     assert fitted.rules and quality_rules.score(texts, fitted).where("(score >= 0.7) = (doc_id % 2 = 1)").count() == 80
     assert quality_rules.score(docs, fitted).where("score between 0 and 1").count() == 13 and quality_rules.score(nothing, fitted).count() == 0
     assert quality_rules.train(nothing, labels.limit(0)).rules == ()
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_substring_edited_passages_of_frequent_lines(spark, parts):
+    """Two earlier documents hold a line of a passage each; it is found in the third, though it has an edit in every run of 50 words."""
+    rows = []
+    for g in range(40):
+        text = lambda name, n, g=g: " ".join(f"{name}{g}x{i}" for i in range(n))
+        first, second = text("first", 27), text("second", 27)
+        rows += [(100 * g + k, f"{text(f'own{k}', 60)} {line} {text(f'end{k}', 60)}") for k, line in enumerate((first, second))]
+        rows += [(100 * g + 50, f"{text('before', 55)} é {first} odd{g} {second} {text('after', 70)}"), (100 * g + 60, f"{text('other', 52)} {first} even{g} {second} {text('tail', 61)}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+    got = {(r["doc_id"], r["source_id"], r["n_words"]) for r in substring_dedup.repeats(table).collect()}
+    assert {(i, source) for i, source, _ in got} == {(100 * g + 60, 100 * g + 50) for g in range(40)}
+    assert sum((100 * g + 60, 100 * g + 50, 55) in got for g in range(40)) >= 39
+
+
+def test_substring_many_sources(spark, monkeypatch):
+    """As many documents hold a line in other contexts as are cut into pieces; each of the edited copies is covered."""
+    monkeypatch.setattr(substring_dedup, "PIECE", 16)
+    text = lambda name, n: " ".join(f"{name}x{i}" for i in range(n))
+    first, second = text("first", 27), text("second", 27)
+    rows = [(i, f"{text(f'own{i}', 60)} {(first, second)[i % 2]} {text(f'end{i}', 60)}") for i in range(60)]
+    rows += [(100 + i, f"{text(f'before{i}', 55)} {first} edit{i} {second} {text(f'after{i}', 70)}") for i in range(20)]
+    got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"] for r in got} == set(range(101, 120)) and all(r["source_id"] >= 100 and r["similarity"] >= 0.8 for r in got)
