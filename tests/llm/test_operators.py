@@ -309,3 +309,33 @@ def test_substring_many_sources(spark, monkeypatch):
     rows += [(100 + i, f"{text(f'before{i}', 55)} {first} edit{i} {second} {text(f'after{i}', 70)}") for i in range(20)]
     got = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r["doc_id"] for r in got} == set(range(101, 120)) and all(r["source_id"] >= 100 and r["similarity"] >= 0.8 for r in got)
+
+
+def frequent_windows(texts):
+    """Windows of all tokens of the texts, as sources, and of the last text as looking for one, by (key, piece)."""
+    column = pa.array([[c for c in range(60)] for _ in texts], pa.list_(pa.int32()))
+    found = pa.array([[]] * len(texts), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("exact", pa.bool_())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), column, found], names=["doc_id", "text", "centres", "found"])
+    rows = [r for b in substring_dedup._open(46)(iter([batch])) for r in b.to_pylist()]
+    lists = [[{x: r[x] for x in ("key", "c", "l", "r", "a", "b")} | {"pieces": 1, "role": 2 if i == len(texts) - 1 else 1} for r in rows if r["doc"] == i] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("key", pa.int64()), *((x, pa.int32()) for x in ("c", "l", "r", "a", "b", "pieces", "role"))]))
+    contexts = list(substring_dedup._contexts(46)(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, kind)], names=["doc_id", "text", "windows"])])))
+    return len(rows), pa.Table.from_batches(contexts).sort_by([("key", "ascending"), ("piece", "ascending")]).combine_chunks().to_batches()[0]
+
+
+def test_substring_sources_within_others_are_not_sent():
+    made, table = frequent_windows([" ".join(["word"] * 90), " ".join(["word"] * 120 + [f"x{i}" for i in range(30)])])
+    sources = [(r["key"], r["doc"], r["lo"], r["hi"]) for r in table.to_pylist() if r["role"] == 1]
+    assert made > len(sources) > 0
+    assert not [1 for a in sources for b in sources if a is not b and a[:2] == b[:2] and b[2] <= a[2] and a[3] <= b[3]]
+
+
+def test_substring_patterns_are_judged_once(monkeypatch):
+    """Many sources hold the same line of a window: one row is judged for all of them; the one that holds more is found."""
+    line, own = " ".join(f"line{i}" for i in range(42)), " ".join(f"own{i}" for i in range(40))
+    texts = [f"{line} {' '.join(f't{k}x{i}' for i in range(40))}" for k in range(200)] + [f"{line} {own}", f"{line} {own} end"]
+    judged, reaches = [], substring_dedup._reaches
+    monkeypatch.setattr(substring_dedup, "_reaches", lambda both, *rest: (judged.append(len(both)), reaches(both, *rest))[1])
+    _, table = frequent_windows(texts)
+    links = np.concatenate(list(substring_dedup._compared(table)))
+    assert set(links[:, 1].tolist()) == {201} and set(links[:, 5].tolist()) == {200} and sum(judged) <= 2 * sum(r["role"] == 2 for r in table.to_pylist())
