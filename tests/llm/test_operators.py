@@ -339,3 +339,16 @@ def test_substring_patterns_are_judged_once(monkeypatch):
     _, table = frequent_windows(texts)
     links = np.concatenate(list(substring_dedup._compared(table)))
     assert set(links[:, 1].tolist()) == {201} and set(links[:, 5].tolist()) == {200} and sum(judged) <= 2 * sum(r["role"] == 2 for r in table.to_pylist())
+
+
+def test_substring_windows_travel_packed():
+    """A task sends one row for each bucket of keys, not one for each window, and all windows arrive sorted out by bucket."""
+    texts = [" ".join(f"w{k}x{i}" for i in range(300)) for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    sent = list(substring_dedup._generate(46, 4)(iter([batch])))
+    assert sum(b.num_rows for b in sent) <= 16
+    table = pa.Table.from_batches(sent).sort_by("bucket").combine_chunks().to_batches(max_chunksize=3)
+    rows = np.concatenate(list(substring_dedup._buckets(iter(table), substring_dedup._ROW)))
+    made = [substring_dedup._windows(words, np.arange(lo, lo + words.rows), 46) for lo, words in substring_dedup.word_blocks(batch.column(1))]
+    assert sorted(map(tuple, rows[:, :5].tolist())) == sorted(map(tuple, np.concatenate(made).tolist()))
+    assert (np.diff((rows[:, 0].view(np.uint64) >> np.uint64(60)).astype(int)) >= 0).all()
