@@ -352,3 +352,11 @@ def test_substring_windows_travel_packed():
     made = [substring_dedup._windows(words, np.arange(lo, lo + words.rows), 46) for lo, words in substring_dedup.word_blocks(batch.column(1))]
     assert sorted(map(tuple, rows[:, :5].tolist())) == sorted(map(tuple, np.concatenate(made).tolist()))
     assert (np.diff((rows[:, 0].view(np.uint64) >> np.uint64(60)).astype(int)) >= 0).all()
+
+
+@pytest.mark.parametrize("size", [3, 7, 20])
+def test_substring_intervals_go_on_in_the_next_batch(size):
+    rows = np.array([[0, doc, 10 * i, 10 * i, 10 * i + 30, 0, 10 * i, 10 * i, 10 * i + 30] for doc in (1, 2) for i in range(10)])
+    batch = substring_dedup._batch(rows)
+    got = [r for b in substring_dedup._chain(iter([batch.slice(i, size) for i in range(0, 20, size)])) for r in b.to_pylist()]
+    assert got == [{"doc": doc, "lo": 0, "hi": 120, "rdoc": 0, "rlo": 0, "rhi": 120} for doc in (1, 2)]
